@@ -31,9 +31,35 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mixed_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import isomedia
+
+    return isomedia.documents_as_media(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_sharding, op5_language_id)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_licenses, op3_sharding, op5_language_id, op7_mixing, op8_warc, op9_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op7_mixing": mixing.SQL}
