@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,23 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+_SHIPPED: list = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each Spark application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="larder-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.append(app)
+
+
 def hashable(df: DataFrame) -> list[str]:
     """Names of the columns that xxhash64 takes (maps have no hash)."""
 
@@ -64,3 +83,20 @@ def col(name: str):
 
 def utf8_bytes(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+#: A table of ids is broadcast up to this many rows, which is counted first; beyond it the join shuffles.
+BROADCAST_IDS = 500_000
+#: Parts into which the rows of a repeated key are dealt for a lookup.
+SALTS = 16
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """``ids`` (a written table), marked for broadcast if its count allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, spread) -> DataFrame:
+    """``df`` left-joined with ``table`` (one row for each key). The rows of a key are dealt over tasks by ``spread``."""
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")

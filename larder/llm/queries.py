@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import ship
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +40,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    return lines.deduped_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -55,8 +64,26 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.documents_as_media(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the package is known to the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_licenses, op3_sharding, op5_language_id, op7_mixing, op8_warc, op9_media)}
+    own = (op1_byte_bpe, op2_licenses, op3_sharding, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard)
+    return {f.__name__: _shipped(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
