@@ -28,6 +28,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vectors
+
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -82,7 +88,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_licenses, op3_sharding, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard)
+    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard)
     return {f.__name__: _shipped(f) for f in own}
 
 
