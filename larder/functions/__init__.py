@@ -1 +1 @@
-
+"""Column functions: predicates, metrics, features, vectors and text."""

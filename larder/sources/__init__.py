@@ -1 +1 @@
-
+"""Sources and sinks: catalogues, embeddings, indexes and metadata."""
