@@ -139,10 +139,24 @@ def _is_null(v: Column, t: Any, c: Context) -> Column:
     return v.isNull() | F.isnan(v) if isinstance(c.dtype, (T.FloatType, T.DoubleType)) else v.isNull()
 
 
+def _comparable(value: Any, dtype: T.DataType) -> bool:
+    """Whether a threshold can equal a cell of this type at all."""
+    if isinstance(dtype, T.StringType):
+        return isinstance(value, str)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return isinstance(value, (bool, int, float))
+    return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+
+
 def _in(v: Column, t: Any, c: Context) -> Column:
     values = _listed(t)
-    hit = surely(v.isin([x for x in values if x is not None])) if any(x is not None for x in values) else F.lit(False)
-    return hit | v.isNull() if None in values else hit
+    cell = v.cast("int") if isinstance(c.dtype, T.BooleanType) else v
+    out = v.isNull() if None in values else F.lit(False)
+    for x in values:
+        if x is not None and _comparable(x, c.dtype):
+            literal = F.lit(x) if isinstance(c.dtype, (T.NumericType, T.StringType)) else F.lit(int(x)) if isinstance(c.dtype, T.BooleanType) else _instant(x)
+            out = out | surely(cell == literal)
+    return out
 
 
 def _instant(threshold: Any) -> Column:
