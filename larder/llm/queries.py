@@ -93,6 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import licenses, mixing, warc
 
-    return {"op7_mixing": mixing.SQL}
+    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}

@@ -126,3 +126,16 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     records = read_records(spark, folder).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     agree = F.when(F.col("declared_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest differs from its payload's")).cast("string"))
     return records.join(salted, ["sha256", "salt"]).select("page_id", "payload_bytes", agree.alias("payload_digest"), "record_type", "refers_to")
+
+
+_HEX5 = "('0x' || substr(h, 1 + 5 * g, 5))::BIGINT"
+_CHARS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + (({_HEX5} >> {s}) & 31))::BIGINT, 1)" for s in (15, 10, 5, 0))
+
+#: The result of archive_pages() in DuckDB's SQL, for distinct page ids.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: {_CHARS}), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN m USING (html)
+"""
