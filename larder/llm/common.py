@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -46,6 +47,25 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows: what Python holds of long texts at a time stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of few rows for what is executed inside: where rows hold large binaries."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: list = []
 
 
@@ -96,6 +116,11 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of a written table of pairs, as a written table."""
+    return written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+
+
 def lookup(df: DataFrame, table: DataFrame, key: str, spread) -> DataFrame:
     """``df`` left-joined with ``table`` (one row for each key). The rows of a key are dealt over tasks by ``spread``."""
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

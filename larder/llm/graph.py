@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, small, written
+
+#: Buckets of up to this many rows are joined with themselves directly.
+FEW = 32
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,39 +38,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, fits: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true") -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
-    keys: long key, long id, int n (a size); fits: condition on columns na, nb that any link meets; verify: table of distinct
-    pairs (a, b) to the linked ones.  First each bucket's least id is compared with the others, which joins a large group
-    of copies in as many pairs as it has rows.  Then only pairs are compared that share a bucket and are not yet in one component; a pair
-    within one component could not change the result.  Returns id, label.
+    keys: long key, long id, int n (a size), int rest (a bound; may be left out); sizes: condition on na, nb that any linked pair meets, and nearer sizes
+    rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets, and smaller sizes and larger rests
+    rather; verify: table of distinct pairs (a, b) to a written table of the linked ones.
+
+    Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
+    the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
+    has rows; in the second with the least ids of its other buckets; in the third with all that share a bucket.  Returns id, label.
     """
-    dealt = keys.select("key", "id", "n").repartition("key")  # one exchange for both uses
-    heads = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last")).where("lead.id != last")
-    multi = written(dealt.join(heads.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "key"), "buckets")
-    first = multi.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb")).where(fits)
-    links = written(verify(first.select("a", "b").distinct()), "links")
-    found = components(links)
-
-    rest = multi.where("id != lead").join(found, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    groups = rest.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mixed = groups.groupBy("key").agg(F.count("*").alias("of")).where("of > 1").select("key")
+    fits = f"{sizes} and {rests}"
+    dealt = keys.select("key", "id", "n", *(["rest"] if "rest" in keys.columns else [])).repartition("key")  # one exchange for both uses
+    heads = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of")).where("lead != last").select("key", "lead", "of")
+    multi = dealt.join(heads.hint("shuffle_hash"), "key")  # what is hashed are the keys of several ids
+    multi = written(multi if "rest" in keys.columns else multi.withColumn("rest", F.lit(0)), "buckets")
+    leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
+    stars = multi.where("id != lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")).join(leads, "key").where(fits)
+    stars = written(stars.select("a", "b").distinct(), "stars")
+    links = verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = written(components(links), "labels")
+
+    more = verify(_apart(stars, found).select("a", "b"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = written(components(links), "labels")
+
+    # what is left: buckets of three and more, without their least ids, in more than one component
+    rest = multi.where("id != lead and of > 2").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label"))
+    rest = written(rest, "rest")
+    own = ["key", "id", "n", "rest", "label"]
+    few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
+    x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
+    last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    last = last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests)).distinct()
+    more = verify(last)
+    return found if more.isEmpty() else components(links.unionByName(more))
+
+
+def _large_buckets(rest: DataFrame, sizes: str, rests: str) -> DataFrame:
+    """Fitting pairs (a, b) of different labels within buckets of any size: pairs of labels first, then of their members,
+    so that a bucket of many rows in few components costs no comparison of all its rows."""
+    mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     rest = written(rest.join(mixed, "key", "left_semi"), "mixed")
-    groups = rest.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = groups.toDF("key", "label", "low", "high"), groups.toDF("key", "other", "low2", "high2")
-    # the groups' sizes overlap, or the nearest of them fit
-    near = (F.col("low") <= F.col("high2")) & (F.col("low2") <= F.col("high")) | F.expr(replaced(fits, "high", "low2")) | F.expr(replaced(fits, "low", "high2"))
-    apart = one.join(two, "key").where((F.col("label") < F.col("other")) & near).select("key", "label", "other")
-    of_one = rest.select("key", "label", F.col("id").alias("x"), F.col("n").alias("na"))
-    of_two = rest.select("key", F.col("label").alias("other"), F.col("id").alias("y"), F.col("n").alias("nb"))
-    second = apart.join(of_one, ["key", "label"]).join(of_two, ["key", "other"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(verify(second), "links")
-    if more.isEmpty():
-        return found
-    return components(links.unionByName(more))
-
-
-def replaced(fits: str, one: str, two: str) -> str:
-    """``fits`` for other columns in place of na and nb."""
-    return re.sub(r"\bnb\b", two, re.sub(r"\bna\b", one, fits))
+    groups = rest.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
+    one, two = groups.toDF("key", "label", "low", "high", "most"), groups.toDF("key", "other", "low2", "high2", "most2")
+    # the groups' sizes overlap, or the ends that face each other fit
+    near = f"(low <= high2 and low2 <= high or {renamed(sizes, na='high', nb='low2')} or {renamed(sizes, na='low', nb='high2')}) and {renamed(rests, na='low', nb='low2', ra='most', rb='most2')}"
+    apart = one.join(two, "key").where((F.col("label") < F.col("other")) & F.expr(near)).select("key", "label", "other")
+    of_one = rest.select("key", "label", F.col("id").alias("x"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    of_two = rest.select("key", F.col("label").alias("other"), F.col("id").alias("y"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    return apart.join(of_one, ["key", "label"]).join(of_two, ["key", "other"]).where(f"{sizes} and {rests}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    found = small(found)
+    told = pairs.join(found.toDF("a", "label_a"), "a", "left").join(found.toDF("b", "label_b"), "b", "left")
+    return told.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+
+
+def renamed(condition: str, **names: str) -> str:
+    """A SQL condition with other expressions for some of its columns."""
+    return re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"({names[m[1]]})", condition)

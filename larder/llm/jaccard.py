@@ -5,8 +5,8 @@ frequency class, rare classes first, then by hash.  Of two sets with overlap O,
 share at least k.  So documents with long sets index each token of the plain prefix (k = 1); documents with short sets
 extend it by one token (k = 2) and index rare tokens singly and frequent ones by 2-token combinations: of two shared tokens one is
 rare, or both are frequent and their combination is shared.  Sets near the border between long and short are indexed
-both ways.  Candidates that share a key pass a length filter and a parity-bitmap filter, both lossless, and are verified on their
-sets.  Frequency classes only order the tokens: they are counted over all documents, and a token left out of them is rare.
+both ways.  Candidates that share a key pass a length filter, a positional filter (see index_keys and its use) and a parity-bitmap
+filter, all lossless, and are verified on their sets.  Frequency classes only order the tokens: they are counted over all documents, and a token left out of them is rare.
 
 Equal sets are one node, so that copies of any number cost one row each.  Returned are components: see graph.link_buckets
 for what is not compared because it couldn't change them.
@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import col, lookup, small, written
+from .common import arrow_rows, col, ends_of, lookup, slices, small, written
 
 #: Sets of at most this size (and somewhat beyond) are indexed by combinations of frequent tokens.
 SHORT = 100
 #: Tokens a task counts at once, and the count in such a batch, and in all, from which a token can be frequent.
-COUNTED, LOCAL, FREQUENT = 4_000_000, 3, 8
+COUNTED, LOCAL, FREQUENT = 2_000_000, 2, 4
 #: Frequent tokens whose class is told to all tasks. Others count as rare: this bounds the broadcast and changes no result.
-CLASSES = 1 << 17
+CLASSES = 1 << 20
 BITS = 512
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -77,21 +77,27 @@ def classes_of(tokens: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.n
     return np.where(known[at] == tokens, level[at], 0).astype(np.int8)
 
 
-def index_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set is indexed."""
+def index_keys(tokens: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed, and how many tokens follow each one's place in the order (for a
+    combination: its last token's place, less the one shared before it)."""
     n = len(tokens)
     if n < 2:  # a set of one token links with equal sets only
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
     order = np.lexsort((tokens, level))
-    plain, keys = n - least_overlap(n, percent) + 1, []
+    plain, keys, rest = n - least_overlap(n, percent) + 1, [], []
     if n >= SHORT:
         keys.append(_mix(tokens[order[:plain]] + _A))
+        rest.append(n - 1 - np.arange(plain))
     if n * percent <= SHORT * 100:
         first = order[: plain + 1]
-        rare, frequent = tokens[first[level[first] == 0]], np.sort(tokens[first[level[first] > 0]])
-        i, j = np.triu_indices(len(frequent), 1)
-        keys += [_mix(rare + _B), _mix(_mix(frequent[i] + _C) * _A + frequent[j])]
-    return np.unique(np.concatenate(keys))
+        rare = int((level[first] == 0).sum())  # they come first
+        keys.append(_mix(tokens[first[:rare]] + _B))
+        rest.append(n - 1 - np.arange(rare))
+        i, j = np.triu_indices(len(first) - rare, 1)
+        frequent = tokens[first[rare:]]
+        keys.append(_mix(_mix(frequent[i] + _C) * _A + frequent[j]))
+        rest.append(n - rare - j)
+    return np.concatenate(keys), np.concatenate(rest).astype(np.int32)
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -128,7 +134,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             t, c = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(t[c >= LOCAL].view(np.int64)), pa.array(c[c >= LOCAL].astype(np.int64))], names=["token", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 held.append(shingles(t, n))
                 size += len(held[-1])
@@ -155,40 +161,44 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            sizes, sigs, bits, keys = [], [], [], []
+        for batch in slices(batches):
+            sizes, sigs, bits, keys, rests = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t, n)
                 sizes.append(len(s))
                 sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bits.append(parity(s))
-                keys.append(index_keys(s, classes_of(s, *known.value), percent).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), made], names=["id", "n", "sig", "bits", "keys"])
-
-    table = written(docs.mapInArrow(index, "id long, n int, sig binary, bits binary, keys array<long>"), "sets")
+                key, rest = index_keys(s, classes_of(s, *known.value), percent)
+                keys.append(key.view(np.int64))
+                rests.append(rest)
+            ends = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, kind), *x]))) for x, kind in ((keys, np.int64), (rests, np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary()), *lists], names=["id", "n", "sig", "bits", "keys", "rests"])
+
+    table = written(docs.mapInArrow(index, "id long, n int, sig binary, bits binary, keys array<long>, rests array<int>"), "sets")
     sets = table.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     sets = written(sets, "reps")
-    nodes = table.where("n > 1").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "bits", "keys")
-    keys = nodes.select(F.explode("keys").alias("key"), "id", "n")
-    info = nodes.select("id", "n", "bits")
+    several = sets.where("copies > 1").select("sig", "rep")
+    copies = written(lookup(table.select("id", "sig"), several, "sig", F.col("id")).where("id != rep").select("id").distinct(), "copies")
+    nodes = table.where("id is not null and n > 1").join(small(copies), "id", "left_anti")
+    keys = nodes.select(F.explode(F.arrays_zip("keys", "rests")).alias("k"), "id", "n").select(F.col("k.keys").alias("key"), "id", "n", F.col("k.rests").alias("rest"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        info = written(table.select("id", "n", "bits").join(small(ends_of(pairs)), "id", "left_semi").dropDuplicates(["id"]), "info")
         a, b = info.toDF("a", "na", "bits_a"), info.toDF("b", "nb", "bits_b")
 
         @F.pandas_udf("boolean")
         def maybe(na: pd.Series, x: pd.Series, nb: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series(may_link(na.to_numpy(np.int64), list(x), nb.to_numpy(np.int64), list(y), percent))
 
-        likely = written(pairs.join(a, "a").join(b, "b").where(maybe("na", "bits_a", "nb", "bits_b")).select("a", "b").distinct(), "likely")
-        ids = written(likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct(), "ids")
+        likely = written(pairs.join(a, "a").join(b, "b").where(maybe("na", "bits_a", "nb", "bits_b")).select("a", "b"), "likely")
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-        whole = written(docs.join(small(ids), "id", "left_semi").mapInArrow(of, "id long, set binary").dropDuplicates(["id"]), "whole")
+        whole = written(docs.join(small(ends_of(likely)), "id", "left_semi").mapInArrow(of, "id long, set binary").dropDuplicates(["id"]), "whole")
 
         @F.pandas_udf("boolean")
         def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -199,9 +209,13 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
 
             return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-        return likely.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b").where(linked("set_a", "set_b")).select("a", "b")
+        both = likely.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b")
+        with arrow_rows(spark, 128):
+            return written(both.where(linked("set_a", "set_b")).select("a", "b"), "linked")
 
-    found = graph.link_buckets(keys, f"100 * least(na, nb) >= {percent} * greatest(na, nb)", verify)
+    # sizes fit; and if the key is the pair's first shared one, as many tokens follow on both sides as the overlap still needs
+    rests = f"{100 + percent} * (1L + least(ra, rb)) >= {percent} * (na + nb)"
+    found = graph.link_buckets(keys, f"100 * least(na, nb) >= {percent} * greatest(na, nb)", verify, rests)
     of_set = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"), "copies", "rep").where("copies > 1 or label != rep")
     return lookup(table.select("id", "n", "sig"), of_set.select("sig", "label"), "sig", F.col("id")).select(
         F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("label", "id")).otherwise(F.col("id")).alias("component_id")
