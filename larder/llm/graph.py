@@ -38,20 +38,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true") -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", most_bits: int | None = None) -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
     keys: long key, long id, int n (a size), int rest (a bound; may be left out); sizes: condition on na, nb that any linked pair meets, and nearer sizes
     rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets, and smaller sizes and larger rests
     rather; verify: table of distinct pairs (a, b) to a written table of the linked ones.
 
+    With ``most_bits``, rest is a code instead (a long), and linked pairs differ in at most so many of its bits: a bucket of two
+    is then tested on the XOR of its codes before anything is joined.
+
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
     the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
     has rows; in the second with the least ids of its other buckets; in the third with all that share a bucket.  Returns id, label.
     """
+    rests, group_rests = (rests, rests) if most_bits is None else (f"bit_count(ra ^ rb) <= {most_bits}", "true")
     fits = f"{sizes} and {rests}"
     dealt = keys.select("key", "id", "n", *(["rest"] if "rest" in keys.columns else [])).repartition("key")  # one exchange for both uses
-    heads = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of")).where("lead != last").select("key", "lead", "of")
+    heads = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of"), *([F.expr("bit_xor(rest)").alias("code")] if most_bits is not None else [])).where("lead != last")
+    heads = (heads if most_bits is None else heads.where(f"of > 2 or bit_count(code) <= {most_bits}")).select("key", "lead", "of")
     multi = dealt.join(heads.hint("shuffle_hash"), "key")  # what is hashed are the keys of several ids
     multi = written(multi if "rest" in keys.columns else multi.withColumn("rest", F.lit(0)), "buckets")
     leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
@@ -72,21 +77,23 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
     last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests)).distinct()
+    last = last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests, group_rests)).distinct()
     more = verify(last)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
-def _large_buckets(rest: DataFrame, sizes: str, rests: str) -> DataFrame:
+def _large_buckets(rest: DataFrame, sizes: str, rests: str, group_rests: str) -> DataFrame:
     """Fitting pairs (a, b) of different labels within buckets of any size: pairs of labels first, then of their members,
     so that a bucket of many rows in few components costs no comparison of all its rows."""
     mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
     rest = written(rest.join(mixed, "key", "left_semi"), "mixed")
-    groups = rest.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
-    one, two = groups.toDF("key", "label", "low", "high", "most"), groups.toDF("key", "other", "low2", "high2", "most2")
+    groups = rest.groupBy("key", "label").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"), F.count("*").alias("of"))
+    one, two = groups.toDF("key", "label", "low", "high", "most", "of"), groups.toDF("key", "other", "low2", "high2", "most2", "of2")
     # the groups' sizes overlap, or the ends that face each other fit
-    near = f"(low <= high2 and low2 <= high or {renamed(sizes, na='high', nb='low2')} or {renamed(sizes, na='low', nb='high2')}) and {renamed(rests, na='low', nb='low2', ra='most', rb='most2')}"
-    apart = one.join(two, "key").where((F.col("label") < F.col("other")) & F.expr(near)).select("key", "label", "other")
+    near = f"(low <= high2 and low2 <= high or {renamed(sizes, na='high', nb='low2')} or {renamed(sizes, na='low', nb='high2')}) and {renamed(group_rests, na='low', nb='low2', ra='most', rb='most2')}"
+    # the smaller group first: its rows are what the first of the two joins multiplies
+    ordered = (F.col("of") < F.col("of2")) | (F.col("of") == F.col("of2")) & (F.col("label") < F.col("other"))
+    apart = one.join(two, "key").where(ordered & F.expr(near)).select("key", "label", "other")
     of_one = rest.select("key", "label", F.col("id").alias("x"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     of_two = rest.select("key", F.col("label").alias("other"), F.col("id").alias("y"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
     return apart.join(of_one, ["key", "label"]).join(of_two, ["key", "other"]).where(f"{sizes} and {rests}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
