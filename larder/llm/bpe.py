@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, slices
 
 #: Pieces kept with their ids in each Python worker; when full the cache starts afresh, so memory is bounded.
 CACHE_PIECES = 1_000_000
@@ -135,7 +135,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, split = _encoder(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rows = [np.fromiter(chain.from_iterable(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
             for lo, hi in _slices(ends):
@@ -163,7 +163,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = tokens.value.__getitem__
-        for batch in batches:
+        for batch in slices(batches, 1024):
             column = batch.column(ids)
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             made = [b"" if v is False else b"".join(map(get, flat[a:b].tolist())) for a, b, v in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
