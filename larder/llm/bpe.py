@@ -12,8 +12,8 @@ The rank file is read once on the driver (a vocabulary is of fixed size) and bro
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import col, slices
 
 #: Pieces kept with their ids in each Python worker; when full the cache starts afresh, so memory is bounded.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Longer pieces are merged each time they occur.
 CACHE_PIECE_CHARS = 48
 
@@ -99,14 +99,14 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> tuple[in
 
 
 class _Pieces(dict):
-    """Piece to ids; a missing piece is merged and, within the bounds, kept."""
+    """Piece to the bytes of its ids (4 each); a missing piece is merged and, within the bounds, kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks, self.longest = ranks, max(map(len, ranks), default=1)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks, self.longest)
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks, self.longest)).tobytes()
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -136,7 +136,7 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, split = _encoder(ranks, pattern)
         for batch in slices(batches, 1024):
-            rows = [np.fromiter(chain.from_iterable(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
+            rows = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
             for lo, hi in _slices(ends):
                 flat = np.concatenate(rows[lo:hi]) if hi > lo else np.empty(0, np.int32)
