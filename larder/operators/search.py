@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -100,21 +101,56 @@ def search_near(items: DataFrame, query_id: int, k: int, metric: str = "ip", thr
     return search(items, [float(x) for x in row[0]], k, metric, threshold, key, vector)
 
 
-def batch_search(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "row_id", vector: str = "embedding", query_key: str = "query_id", most_queries: int = 1000) -> DataFrame:
-    """query_key, key, score, rank of the k best rows for each query, independently.
+#: Queries of a block, and items of a part, about: a task scores one block against one part.
+BLOCK, PART = 4096, 8192
 
-    The queries travel with the items as one literal array, checked to be at most ``most_queries``; each task keeps k rows of a
-    query through max_by, so what is shuffled is k rows for each query and task, not all pairs.
+
+def batch_search(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "row_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
+    """query_key, key, score, rank of the k best rows for each query, independently, for any number of queries.
+
+    Queries are dealt into blocks and items into parts; each pair of both is scored by itself and keeps k rows a query, which
+    are then merged.  Vectors that are null or hold a null, and items of another length than the query, have no score and are left out.
     """
-    rows = queries.select(query_key, vector).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in batches")
-    score, larger = METRICS[metric]
-    table = F.array(*(F.struct(F.lit(r[0]).alias("q"), V.vector(r[1]).alias("v")) for r in rows))
-    scored = items.where(F.col(vector).isNotNull()).select(key, F.explode(F.transform(table, lambda q: F.struct(q["q"].alias("q"), score(F.col(vector), q["v"]).alias("s")))).alias("x"))
-    scored = scored.select(F.col("x.q").alias(query_key), key, F.col("x.s").alias("score"))
+    _, larger = METRICS[metric]
+    whole = lambda df: df.where(F.col(vector).isNotNull() & ~F.exists(vector, F.isnull))
+    own, asked = whole(items.select(key, vector)), whole(queries.select(query_key, vector))
+    n = own.count()
+    parts, blocks = max(-(-n // PART), min(64, -(-n // 64)), 1), max(-(-asked.count() // BLOCK), 1)
+    deal = lambda df, by, to, every: df.select(
+        F.pmod(F.xxhash64(by, vector), F.lit(to)).alias("__own"), F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("__other"), F.size(vector).alias("__dim"), F.col(by).alias("key"), F.col(vector).cast("array<double>").alias("v")
+    )
+    left = deal(own, key, parts, blocks).withColumnsRenamed({"__own": "part", "__other": "block", "__dim": "dim"}).withColumn("part", F.col("part").cast("int"))
+    right = deal(asked, query_key, blocks, parts).withColumnsRenamed({"__own": "block", "__other": "part", "__dim": "dim"}).withColumn("block", F.col("block").cast("int"))
+
+    def best(group, against):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # by key, so that of equal scores the first has the least key
+        group = group.take(pc.sort_indices(group, sort_keys=[("key", "ascending")], null_placement="at_start"))
+        rows = lambda t: np.asarray(t["v"].combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+        at, of, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if group.num_rows and against.num_rows:
+            x, y = np.ascontiguousarray(rows(group).T), rows(against)
+            for lo in range(0, len(y), 64):
+                some = y[lo : lo + 64]
+                score = np.zeros((len(some), x.shape[1]))
+                for d in range(x.shape[0]):  # in order, so that equal vectors have equal scores
+                    score += some[:, d : d + 1] * x[d] if larger else (x[d] - some[:, d : d + 1]) ** 2
+                order = np.where(np.isnan(score), -np.inf, -score) if larger else np.where(np.isnan(score), np.inf, score)
+                last = np.partition(order, k - 1, axis=1)[:, k - 1] if k < order.shape[1] else np.full(len(some), np.inf)
+                for i in range(len(some)):
+                    near = np.flatnonzero(order[i] <= last[i])
+                    near = near[np.argsort(order[i, near], kind="stable")[:k]]
+                    at.append(near)
+                    of.append(np.full(len(near), lo + i))
+                    scores.append(score[i, near])
+        return pa.table({query_key: against["key"].take(pa.array(np.concatenate(of))), key: group["key"].take(pa.array(np.concatenate(at))), "score": np.concatenate(scores)})
+
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, items.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    scored = left.groupBy("block", "part", "dim").cogroup(right.groupBy("block", "part", "dim")).applyInArrow(best, schema)
     w = Window.partitionBy(query_key).orderBy(*_order("score", larger, key))
-    # row_number <= k lets Spark keep k rows of a query in each task before the exchange (WindowGroupLimit)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
