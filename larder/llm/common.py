@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get()
@@ -35,9 +37,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.larder_path = path
+    for held in _SCRATCH:
+        held.append(out)
     return out
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(*kept: str):
+    """Deletes the tables written inside when it ends without an error, but for those whose names are ``kept``: a result still reads them."""
+    held: list[DataFrame] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+    for table in held:
+        if table.larder_path.rsplit("/", 1)[1][:-33] not in kept:
+            forget(table)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written` that no later step reads."""
     path = getattr(df, "larder_path", None)
@@ -105,15 +126,15 @@ def utf8_bytes(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-#: A table of ids is broadcast up to this many rows, which is counted first; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
-#: Parts into which the rows of a repeated key are dealt for a lookup.
-SALTS = 16
+#: A table of numbers is broadcast up to this many bytes, which are counted first; beyond it the join shuffles.
+BROADCAST_BYTES = 12 << 20
+#: A key is hot if it has more than this part of all rows that a lookup joins: there are at most so many of them.
+HOT_KEYS = 10_000
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """``ids`` (a written table), marked for broadcast if its count allows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def small(table: DataFrame, extra: int = 0) -> DataFrame:
+    """``table`` (a written table of numbers), marked for broadcast if its size allows; extra: bytes of its arrays."""
+    return F.broadcast(table) if table.count() * 8 * len(table.columns) + extra <= BROADCAST_BYTES else table
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -121,7 +142,36 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, spread) -> DataFrame:
-    """``df`` left-joined with ``table`` (one row for each key). The rows of a key are dealt over tasks by ``spread``."""
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")
+def lookup(df: DataFrame, table: DataFrame, key: str, spread, weight: str) -> DataFrame:
+    """``df`` left-joined with ``table`` (one row for each key; ``weight``: how many rows of ``df`` have it; it isn't kept).
+
+    Hot keys, HOT_KEYS of them at most, are broadcast, and their rows are dealt by ``spread`` in the shuffle that the others need.
+    """
+    values = [c for c in table.columns if c not in (key, weight)]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    hot = table.where(is_hot).select(key, F.struct(*values).alias("__hot"))
+    cold = table.where(~is_hot).select(key, F.struct(*values).alias("__cold"), F.lit(0).alias("__salt"))
+    dealt = df.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("int"))
+    told = dealt.join(cold, [key, "__salt"], "left").withColumn("__told", F.coalesce("__hot", "__cold"))
+    return told.select(*(col(c) for c in df.columns), *(F.col(f"__told.{v}").alias(v) for v in values))
+
+
+def released(batches, holds=None):
+    """``batches``, and when they end (or the task is stopped) what the worker held for them goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        if holds is not None:
+            holds.clear()
+        _trim()
+
+
+def _trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -12,6 +12,8 @@ from .common import forget, small, written
 
 #: Buckets of up to this many rows are joined with themselves directly.
 FEW = 32
+#: A key is hot if it has so many rows among one of SAMPLE ids. What the sample misses is still joined, by its shuffle.
+SAMPLE, SAMPLED = 16, 32
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,27 +40,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", most_bits: int | None = None) -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, split: str | None = None) -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
-    keys: long key, long id, int n (a size), int rest (a bound; may be left out); sizes: condition on na, nb that any linked pair meets, and nearer sizes
-    rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets, and smaller sizes and larger rests
-    rather; verify: table of distinct pairs (a, b) to a written table of the linked ones.
-
-    With ``most_bits``, rest is a code instead (a long), and linked pairs differ in at most so many of its bits: a bucket of two
-    is then tested on the XOR of its codes before anything is joined.
+    keys (a plan that is cheap to run twice): long key, long id, int n (a size), rest (a bound or a code; may be left out); sizes: condition on na, nb that any
+    linked pair meets, and nearer sizes rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets; group_rests: the same for
+    two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
+    split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are dealt; verify: table of distinct pairs (a, b) to a
+    written table of the linked ones.
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
     the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
     has rows; in the second with the least ids of its other buckets; in the third with all that share a bucket.  Returns id, label.
+
+    Hot keys, found in a sample of the keys, have their rows joined where they lie: a bucket of any size is never in one task.
     """
-    rests, group_rests = (rests, rests) if most_bits is None else (f"bit_count(ra ^ rb) <= {most_bits}", "true")
+    group_rests = rests if group_rests is None else group_rests
     fits = f"{sizes} and {rests}"
-    dealt = keys.select("key", "id", "n", *(["rest"] if "rest" in keys.columns else [])).repartition("key")  # one exchange for both uses
-    heads = dealt.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of"), *([F.expr("bit_xor(rest)").alias("code")] if most_bits is not None else [])).where("lead != last")
-    heads = (heads if most_bits is None else heads.where(f"of > 2 or bit_count(code) <= {most_bits}")).select("key", "lead", "of")
+    keys = keys.select("key", "id", "n", *(["rest"] if "rest" in keys.columns else [F.lit(0).alias("rest")]))
+    seen = keys.where(f"pmod(xxhash64(id), {SAMPLE}) = 0").groupBy("key").count().where(f"count >= {SAMPLED}")
+    hot = small(written(seen.select("key"), "hot"))
+    dealt = keys.join(hot, "key", "left_anti").repartition("key")  # one exchange for both uses
+    told = (F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of"))
+    heads = dealt.groupBy("key").agg(*told).where("lead != last").select("key", "lead", "of")
     multi = dealt.join(heads.hint("shuffle_hash"), "key")  # what is hashed are the keys of several ids
-    multi = written(multi if "rest" in keys.columns else multi.withColumn("rest", F.lit(0)), "buckets")
+    warm = written(keys.join(hot, "key", "left_semi"), "hot-rows")
+    multi = multi.unionByName(warm.join(small(written(warm.groupBy("key").agg(*told).where("lead != last").select("key", "lead", "of"), "hot-heads")), "key"))
+    multi = written(multi, "buckets")
     leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
     stars = multi.where("id != lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")).join(leads, "key").where(fits)
     stars = written(stars.select("a", "b").distinct(), "stars")
@@ -72,12 +80,18 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
 
     # what is left: buckets of three and more, without their least ids, in more than one component
     rest = multi.where("id != lead and of > 2").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label"))
-    rest = written(rest, "rest")
     own = ["key", "id", "n", "rest", "label"]
+    rest = written(rest, "rest")
+    large = rest.where(f"of > {FEW}").select(*own)
+    if split:
+        parts = written(large.withColumn("key", F.explode(F.expr(split))), "parts")
+        spread = parts.groupBy("key").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "of")
+        rest = written(rest.where(f"of <= {FEW}").unionByName(parts.join(spread, "key").select(*rest.columns)), "rest")
+        large = rest.where(f"of > {FEW}").select(*own)
     few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
     last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests, group_rests)).distinct()
+    last = last.unionByName(_large_buckets(large, sizes, rests, group_rests)).distinct()
     more = verify(last)
     return found if more.isEmpty() else components(links.unionByName(more))
 

@@ -178,8 +178,8 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     table = written(docs.mapInArrow(index, "id long, n int, sig binary, bits binary, keys array<long>, rests array<int>"), "sets")
     sets = table.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     sets = written(sets, "reps")
-    several = sets.where("copies > 1").select("sig", "rep")
-    copies = written(lookup(table.select("id", "sig"), several, "sig", F.col("id")).where("id != rep").select("id").distinct(), "copies")
+    several = sets.where("copies > 1").select("sig", "rep", "copies")
+    copies = written(lookup(table.select("id", "sig"), several, "sig", F.col("id"), "copies").where("id != rep").select("id").distinct(), "copies")
     nodes = table.where("id is not null and n > 1").join(small(copies), "id", "left_anti")
     keys = nodes.select(F.explode(F.arrays_zip("keys", "rests")).alias("k"), "id", "n").select(F.col("k.keys").alias("key"), "id", "n", F.col("k.rests").alias("rest"))
 
@@ -217,7 +217,8 @@ def components(df: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id"
     rests = f"{100 + percent} * (1L + least(ra, rb)) >= {percent} * (na + nb)"
     found = graph.link_buckets(keys, f"100 * least(na, nb) >= {percent} * greatest(na, nb)", verify, rests)
     of_set = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"), "copies", "rep").where("copies > 1 or label != rep")
-    return lookup(table.select("id", "n", "sig"), of_set.select("sig", "label"), "sig", F.col("id")).select(
+    of_set = written(of_set.select("sig", "label", "copies"), "labels-of-sets")
+    return lookup(table.select("id", "n", "sig"), of_set, "sig", F.col("id"), "copies").select(
         F.col("id").cast(df.schema[key].dataType).alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.coalesce("label", "id")).otherwise(F.col("id")).alias("component_id")
     )
 

@@ -146,8 +146,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id", vec
         known = known.join(weights, "rep", "left").join(found, "rep", "left")
     else:
         known = known.withColumns({"links": F.lit(0).cast("long"), "label": F.lit(None).cast("long")})
-    known = known.select("of", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("label", "rep").alias("component"))
-    out = lookup(rows.select("id", "of"), known, "of", F.col("id"))
+    known = known.select("of", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("label", "rep").alias("component"))
+    out = lookup(rows.select("id", "of"), written(known, "known"), "of", F.col("id"), "copies")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").cast(df.schema[key].dataType).alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
