@@ -4,7 +4,7 @@ Method: a segment tree over the byte positions of a piece keeps, at its root, th
 pairs.  A merge joins two live neighbours and makes three point updates (the merged pair, the pair before it and the
 vanished one), each logarithmic in the piece's length, so that a run of a million bytes without a split costs n log n.
 
-Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows are encoded
+Defined cases: a null text counts as empty; a text of any length is encoded whole; no result depends on the order of rows, so ties have no meaning; an empty text has no ids and decodes to no bytes; repeated rows are encoded
 each; an empty table gives an empty table; columns named like the output columns are replaced, all others are kept.
 The rank file is read once on the driver (a vocabulary is of fixed size) and broadcast.
 """
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, slices
+from .common import col, released, slices
 
-#: Pieces kept with their ids in each Python worker; when full the cache starts afresh, so memory is bounded.
-CACHE_PIECES = 600_000
+#: Bytes that a task's cache of pieces and their ids takes, about; when full it starts afresh, and it goes with the task.
+CACHE_BYTES = 80 << 20
 #: Longer pieces are merged each time they occur.
 CACHE_PIECE_CHARS = 48
 
@@ -57,40 +57,34 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> tuple[in
     after = list(range(1, n + 2))  # start of the next live symbol
     before = list(range(-1, n))
     mask = (1 << shift) - 1
-
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                break
-            tree[k] = low
-            k >>= 1
-
-    def pair(i: int) -> int:
-        mid = after[i]
-        if mid >= n:
-            return _NONE
-        end = after[mid]
-        if end - i > longest:
-            return _NONE
-        rank = get(piece[i:end])
-        return _NONE if rank is None else rank << shift | i
-
-    while tree[1] != _NONE:
-        i = tree[1] & mask
-        gone = after[i]
-        end = after[gone]
-        after[i] = end
+    while (least := tree[1]) != _NONE:
+        i = least & mask
+        gone, back = after[i], before[i]
+        end = after[i] = after[gone]
+        values = [(gone, _NONE)]
         if end < n:
             before[end] = i
-        put(gone, _NONE)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+            to = after[end]
+            rank = get(piece[i:to]) if to - i <= longest else None
+            values.append((i, _NONE if rank is None else rank << shift | i))
+        else:
+            values.append((i, _NONE))
+        if back >= 0:
+            rank = get(piece[back:end]) if end - back <= longest else None
+            values.append((back, _NONE if rank is None else rank << shift | back))
+        for k, value in values:  # point updates, each up to where nothing changes
+            k += width
+            if tree[k] != value:
+                tree[k] = value
+                k >>= 1
+                while k:
+                    low, other = tree[2 * k], tree[2 * k + 1]
+                    if other < low:
+                        low = other
+                    if tree[k] == low:
+                        break
+                    tree[k] = low
+                    k >>= 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -103,38 +97,29 @@ class _Pieces(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.longest = ranks, max(map(len, ranks), default=1)
+        self.ranks, self.longest, self.room = ranks, max(map(len, ranks), default=1), CACHE_BYTES
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("i", merge_piece(piece.encode("utf-8", "surrogatepass"), self.ranks, self.longest)).tobytes()
         if len(piece) <= CACHE_PIECE_CHARS:
-            if len(self) >= CACHE_PIECES:
+            self.room -= 180 + len(piece) + len(ids)
+            if self.room < 0:
                 self.clear()
+                self.room = CACHE_BYTES
             self[piece] = ids
         return ids
 
 
-_WORKER: dict = {}
-
-
-def _encoder(ranks, pattern: str):
-    import regex
-
-    key = (pattern, ranks.id if hasattr(ranks, "id") else id(ranks))
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = (_Pieces(ranks.value), regex.compile(pattern).findall)
-    return _WORKER[key]
-
-
 def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with an ``array<int>`` column of token ids; each match of ``pattern`` is merged by itself."""
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
     kept = [c for c in df.columns if c != ids]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = _encoder(ranks, pattern)
+    def run(batches: Iterator[pa.RecordBatch], pieces: _Pieces) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(pattern).findall
         for batch in slices(batches, 1024):
             rows = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
@@ -143,7 +128,11 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids
                 made = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), made], names=[*kept, ids])
 
-    return df.mapInArrow(run, schema)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces(ranks.value)
+        return released(run(batches, pieces), pieces)
+
+    return df.mapInArrow(task, schema)
 
 
 def _slices(ends: np.ndarray, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
@@ -169,7 +158,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
             made = [b"" if v is False else b"".join(map(get, flat[a:b].tolist())) for a, b, v in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary())], names=[*kept, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:

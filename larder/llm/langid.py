@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, released
 
 #: Bound of the training sample for each language.
 DOCS_PER_LANGUAGE = 3000
@@ -152,9 +152,9 @@ def predict(df: DataFrame, model: Filter, text: str = "text", out: str = "lang_p
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def tell(texts: pd.Series) -> pd.DataFrame:
-        model = held.value
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["pred", "score"])
+    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = held.value.predict
+        yield from released(pd.DataFrame([predict(t) for t in texts], columns=["pred", "score"]) for texts in batches)
 
     kept = [c for c in df.columns if c not in (out, score)]
     return df.select(*map(col, kept), tell(col(text)).alias("__told")).select(*map(col, kept), F.col("__told.pred").alias(out), F.col("__told.score").alias(score))
