@@ -126,15 +126,19 @@ def utf8_bytes(text) -> F.Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-#: A table of numbers is broadcast up to this many bytes, which are counted first; beyond it the join shuffles.
+#: A table of numbers and digests is broadcast up to this many bytes, which are counted first; beyond it the join shuffles.
 BROADCAST_BYTES = 12 << 20
 #: A key is hot if it has more than this part of all rows that a lookup joins: there are at most so many of them.
 HOT_KEYS = 10_000
 
 
+def _width(kind: T.DataType) -> int:
+    return sum(_width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8 if isinstance(kind, T.NumericType) else 40
+
+
 def small(table: DataFrame, extra: int = 0) -> DataFrame:
-    """``table`` (a written table of numbers), marked for broadcast if its size allows; extra: bytes of its arrays."""
-    return F.broadcast(table) if table.count() * 8 * len(table.columns) + extra <= BROADCAST_BYTES else table
+    """``table`` (a written table of numbers and digests), marked for broadcast if its size allows; extra: bytes of its arrays."""
+    return F.broadcast(table) if table.count() * _width(table.schema) + extra <= BROADCAST_BYTES else table
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -145,9 +149,11 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 def lookup(df: DataFrame, table: DataFrame, key: str, spread, weight: str) -> DataFrame:
     """``df`` left-joined with ``table`` (one row for each key; ``weight``: how many rows of ``df`` have it; it isn't kept).
 
-    Hot keys, HOT_KEYS of them at most, are broadcast, and their rows are dealt by ``spread`` in the shuffle that the others need.
+    A small table is broadcast.  Else hot keys are, HOT_KEYS of them at most, and their rows are dealt by ``spread`` in the shuffle that the others need.
     """
     values = [c for c in table.columns if c not in (key, weight)]
+    if table.count() * _width(table.schema) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(table.select(key, *values)), key, "left").select(*map(col, df.columns), *values)
     total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
     hot = table.where(is_hot).select(key, F.struct(*values).alias("__hot"))

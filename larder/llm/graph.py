@@ -40,13 +40,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, split: str | None = None) -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, split: str | None = None, two: str = "true") -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
-    keys (a plan that is cheap to run twice): long key, long id, int n (a size), rest (a bound or a code; may be left out); sizes: condition on na, nb that any
+    keys (a plan that is cheap to run again): long key, long id, int n (a size; may be left out), long rest (a bound or a code); sizes: condition on na, nb that any
     linked pair meets, and nearer sizes rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets; group_rests: the same for
     two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
-    split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are dealt; verify: table of distinct pairs (a, b) to a
+    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are dealt; verify: table of distinct pairs (a, b) to a
     written table of the linked ones.
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
@@ -57,16 +57,19 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     """
     group_rests = rests if group_rests is None else group_rests
     fits = f"{sizes} and {rests}"
-    keys = keys.select("key", "id", "n", *(["rest"] if "rest" in keys.columns else [F.lit(0).alias("rest")]))
+    sized = "n" in keys.columns
+    keys = keys.select("key", "id", *(["n"] if sized else []), F.col("rest").cast("long").alias("rest"))
     seen = keys.where(f"pmod(xxhash64(id), {SAMPLE}) = 0").groupBy("key").count().where(f"count >= {SAMPLED}")
     hot = small(written(seen.select("key"), "hot"))
-    dealt = keys.join(hot, "key", "left_anti").repartition("key")  # one exchange for both uses
-    told = (F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of"))
-    heads = dealt.groupBy("key").agg(*told).where("lead != last").select("key", "lead", "of")
+    dealt = keys.join(hot, "key", "left_anti").repartition("key")
+    # all columns are used on both sides, so that one exchange serves both
+    told = (F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("of"), F.expr("bit_xor(rest)").alias("both"), *([F.max("n").alias("most")] if sized else []))
+    fit = f"lead != last and (of > 2 or {two} and coalesce(both, 0) is not null)" + (" and coalesce(most, 0) >= 0" if sized else "")
+    heads = dealt.groupBy("key").agg(*told).where(fit).select("key", "lead", "of")
     multi = dealt.join(heads.hint("shuffle_hash"), "key")  # what is hashed are the keys of several ids
     warm = written(keys.join(hot, "key", "left_semi"), "hot-rows")
-    multi = multi.unionByName(warm.join(small(written(warm.groupBy("key").agg(*told).where("lead != last").select("key", "lead", "of"), "hot-heads")), "key"))
-    multi = written(multi, "buckets")
+    multi = multi.unionByName(warm.join(small(written(warm.groupBy("key").agg(*told).where(fit).select("key", "lead", "of"), "hot-heads")), "key"))
+    multi = written(multi if sized else multi.withColumn("n", F.lit(0)), "buckets")
     leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
     stars = multi.where("id != lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")).join(leads, "key").where(fits)
     stars = written(stars.select("a", "b").distinct(), "stars")
