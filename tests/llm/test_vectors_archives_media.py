@@ -52,12 +52,28 @@ def test_links_against_brute_force(spark, monkeypatch):
     rows = corpus(900, 32, 1)
     want = brute_links(rows)
     got = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    assert vectors.plan(900, 0.9)[0] == 3
+    assert vectors.plan(900, 0.9)[0] == 3 and vectors.plan(900, 0.9)[1] > 3
     found, there = sum(r["n_links"] for r in got.values()), sum(n for n, _ in want.values())
     assert there > 500 and 0.95 * there <= found <= there
     assert all(r["n_links"] <= want[i][0] for i, r in got.items()) and all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_vectors_about_a_far_centre(spark, monkeypatch):
+    """Cells of a narrow cone part near pairs more often; the spread that is measured makes up for it."""
+    monkeypatch.setattr(vectors, "CELL", 64)
+    rows = [(i, (np.array(v) * 0.5 + 1.0).tolist()) for i, v in corpus(600, 32, 3)]
+    want = brute_links(rows, 0.99)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.99).collect()}
+    found, there = sum(got.values()), sum(n for n, _ in want.values())
+    assert there > 100 and 0.9 * there <= found <= there
+
+
+def test_growth_of_trees():
+    """Work, as vectors times trees times the size of a cell, grows with about the 1.25th power."""
+    work = lambda n: n * vectors.plan(n, 0.9)[1] * (n >> vectors.plan(n, 0.9)[0])
+    assert work(1 << 32) / work(1 << 22) <= (1 << 10) ** 1.3
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0]), (12, [1e300, 0.0])]
