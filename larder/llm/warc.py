@@ -7,11 +7,11 @@ payloads the one with the largest page id is the response, the others are revisi
 An archive is a folder of two Parquet tables: ``payloads`` (sha256, payload) and ``records`` (page_id, row, record_type,
 refers_to, sha256, header, http).  ``header`` and ``http`` are the exact bytes up to the payload.
 
-A hot payload (a third of all pages may be copies) costs one stored copy; the lookup of its response is salted.
+A hot payload (a third of all pages may be copies) costs one stored copy; the rows that look it up are dealt over tasks.
 
 Defined cases: null html is an empty payload; a null url leaves out the target field; null page ids count as the smallest;
 repeated rows with equal ids become separate records, one of which is the response; an empty table gives an empty archive;
-further columns are not archived; line ends within a url are percent-encoded.
+a payload of any length is stored whole; of equal page ids (a tie) the last row is the response; further columns are not archived, whatever their names; line ends within a url are percent-encoded.
 """
 
 from __future__ import annotations
@@ -19,13 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import lookup, scratch, shared_folder, written
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Parts into which the rows of a key are dealt for a lookup of repeated payloads.
-SALTS = 16
 #: Payloads of at least this many bytes are revisited.
 LEAST_BYTES = 0
 
@@ -44,15 +42,19 @@ def _urn(page_id: Column, row: Column) -> Column:
 
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> None:
     """Archive page_id, url, html of ``pages`` below ``folder``."""
+    with scratch():
+        _write_archive(pages, folder, least_bytes)
+
+
+def _write_archive(pages: DataFrame, folder: str, least_bytes: int) -> None:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     own.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     # the row number is fixed once this table is written
     index = written(own.select("page_id", "url", "sha256", base32_sha1(F.col("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("n"), F.monotonically_increasing_id().alias("row")), "warc-index")
-    repeated = index.where(F.col("n") >= least_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    of = index.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["sha256", "salt"], "left")
+    repeated = index.where(F.col("n") >= least_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    of = lookup(index, written(repeated, "warc-repeated"), "sha256", F.col("row"), "copies")
     revisit = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
@@ -106,26 +108,37 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """Every original record whole: page_id, record_type, record (bytes). A response joins its payload, once for each digest; revisits have none."""
-    records = read_records(spark, folder)
+    """Every original record whole: record (bytes), head (how many of them are before its payload), and the columns page_id, record_type, refers_to,
+    declared_digest, sha256, row. A response joins its payload, once for each digest; revisits have none."""
+    records = read_records(spark, folder).withColumn("__head", F.concat(F.col("header").cast("binary"), F.col("http").cast("binary")))
     end = F.lit((CRLF + CRLF).encode())
-    head = F.concat(F.col("header").cast("binary"), F.col("http").cast("binary"))
-    whole = records.where("record_type = 'response'").join(read_payloads(spark, folder), "sha256").select("page_id", "record_type", F.concat(head, F.col("payload"), end).alias("record"))
-    return whole.unionByName(records.where("record_type = 'revisit'").select("page_id", "record_type", F.concat(head, end).alias("record")))
+    told = ("page_id", "record_type", "refers_to", "declared_digest", "sha256", "row", F.octet_length("__head").alias("head"))
+    whole = records.where("record_type = 'response'").join(read_payloads(spark, folder).select("sha256", "payload"), "sha256").select(*told, F.concat("__head", "payload", end).alias("record"))
+    return whole.unionByName(records.where("record_type = 'revisit'").select(*told, F.concat("__head", end).alias("record")))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Archive all pages, read the archive back; page_id, payload_bytes, payload_digest, record_type, refers_to of each record."""
+    """Archive all pages and read the archive back; page_id, payload_bytes, payload_digest, record_type, refers_to of each rebuilt record.
+
+    The payload is cut from the rebuilt record of its response; a revisit's is that of the response with its digest.
+    """
     import uuid
 
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, folder)
-    stored = read_payloads(spark, folder).select("sha256", "payload_bytes", "payload_digest")
-    salted = stored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    records = read_records(spark, folder).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    agree = F.when(F.col("declared_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest differs from its payload's")).cast("string"))
-    return records.join(salted, ["sha256", "salt"]).select("page_id", "payload_bytes", agree.alias("payload_digest"), "record_type", "refers_to")
+    rebuilt = reconstruct(spark, folder)
+    body = F.substring("record", F.col("head") + 1, F.octet_length("record") - F.col("head") - 4)
+    sha1 = base32_sha1(F.col("payload"))
+    agree = F.when(F.col("declared_digest") == sha1, sha1).otherwise(F.raise_error(F.lit("a header's digest differs from its payload's")).cast("string"))
+    with scratch("responses", "paid"):
+        responses = written(rebuilt.where("record_type = 'response'").withColumn("payload", body).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), agree.alias("payload_digest"), "record_type", "refers_to", "sha256"), "responses")
+        revisits = rebuilt.where("record_type = 'revisit'")
+        copies = revisits.groupBy("sha256").agg(F.count("*").alias("copies"))
+        paid = written(responses.select("sha256", "payload_bytes", "payload_digest").join(copies, "sha256"), "paid")
+        told = lookup(revisits.select("page_id", "record_type", "refers_to", "declared_digest", "sha256", "row"), paid, "sha256", F.col("row"), "copies")
+    same = F.when(F.col("declared_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a revisit's digest differs from its response's")).cast("string"))
+    return responses.drop("sha256").unionByName(told.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to"))
 
 
 _HEX5 = "('0x' || substr(h, 1 + 5 * g, 5))::BIGINT"
