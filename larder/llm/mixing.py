@@ -8,7 +8,7 @@ documents of a block in a seeded order; a document copy is kept while the source
 A source of n documents has about sqrt(n) blocks, so the running sum of a hot source is taken in two levels, within blocks
 and over block totals, and no task holds a source.  What the driver sees are a few sums for each step of the bisection.
 
-Defined cases: a null source is a source of its own; null and empty texts have no tokens and stay with the first pass of
+Defined cases: a text of any length counts whole, as one row; a null source is a source of its own; null and empty texts have no tokens and stay with the first pass of
 their source's order as far as its budget reaches; ties and repeated rows are ordered by all their values and kept or left each by itself; with no tokens at all
 the weights are zero; an empty table gives an empty table; input columns named like the outputs are replaced, others kept.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import col, hashable, written
 
 STEPS = 40
+#: Passes over a source that a row is copied for at a time, and sources whose plan is broadcast.
+STRETCH, MANY_SOURCES = 1000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -93,11 +95,20 @@ def mix(df: DataFrame, source: str = "source", tokens: Column | None = None, key
     order = F.col(key).cast("string")
     tie = F.xxhash64(*map(col, hashable(df.select(*map(col, kept)))))
     seeded = F.lit(str(seed))
-    epochs = F.sequence(F.lit(0).cast("long"), F.when(F.col("__t") > 0, F.floor(F.col("__budget") / F.col("__t"))).otherwise(F.lit(0)).cast("long"))
-    dealt = df.join(plan, "__of").withColumn("__block", F.pmod(_key15(seeded, F.coalesce(order, F.lit(""))), F.col("__blocks"))).withColumn("epoch", F.explode(epochs))
+    passes = F.when(F.col("__t") > 0, F.floor(F.col("__budget") / F.col("__t"))).otherwise(F.lit(0)).cast("long")
+    most = plan.agg(F.max(passes)).first()[0] or 0
+
+    def in_epochs(rows: DataFrame, by: list[Column]) -> DataFrame:
+        """A row for each pass. Many passes are first dealt over tasks in stretches, so that no array and no task holds them all."""
+        stretches = rows.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), passes, F.lit(STRETCH).cast("long")))) if most >= STRETCH else rows.withColumn("__from", F.lit(0).cast("long"))
+        stretches = stretches.repartition(*by, "__from") if most >= STRETCH else stretches
+        return stretches.withColumn("epoch", F.explode(F.sequence(F.col("__from"), F.least(passes, F.col("__from") + STRETCH - 1)))).drop("__from")
+
+    df = df.join(F.broadcast(plan) if plan.count() <= MANY_SOURCES else plan, "__of").withColumn("__block", F.pmod(_key15(seeded, F.coalesce(order, F.lit(""))), F.col("__blocks")))
+    dealt = in_epochs(df, [F.coalesce(order, F.lit(""))])
     dealt = dealt.withColumn("__at", _key15(seeded, F.col("epoch").cast("string"), F.coalesce(order, F.lit("")))).withColumn("__tie", tie)
-    blocks = df.join(plan, "__of").groupBy("__of", F.pmod(_key15(seeded, F.coalesce(order, F.lit(""))), F.col("__blocks")).alias("__block")).agg(F.sum("n_tokens").alias("__n"), F.first("__budget").alias("__budget"), F.first("__t").alias("__t"))
-    blocks = blocks.withColumn("epoch", F.explode(epochs)).withColumn("__order", _key15(seeded, F.lit("block"), F.col("epoch").cast("string"), F.col("__of"), F.col("__block").cast("string")))
+    blocks = df.groupBy("__of", "__block").agg(F.sum("n_tokens").alias("__n"), F.first("__budget").alias("__budget"), F.first("__t").alias("__t"))
+    blocks = in_epochs(blocks, [F.col("__of"), F.col("__block")]).withColumn("__order", _key15(seeded, F.lit("block"), F.col("epoch").cast("string"), F.col("__of"), F.col("__block").cast("string")))
     over = Window.partitionBy("__of", "epoch").orderBy("__order", "__block")
     blocks = blocks.select("__of", "epoch", "__block", F.row_number().over(over).alias("block"), (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     within = Window.partitionBy("__of", "epoch", "__block").orderBy("__at", F.col(key).asc_nulls_first(), "n_tokens", "__tie").rowsBetween(Window.unboundedPreceding, 0)
@@ -108,7 +119,8 @@ def mix(df: DataFrame, source: str = "source", tokens: Column | None = None, key
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_tokens, weight, epoch, block, upto of every copy in the mixture: half-way from the natural entropy to the even one, at as many tokens as there are."""
-    return mix(docs.select("doc_id", "source", words(F.col("text")).alias("__words")), tokens=F.col("__words"), entropy_part=0.5).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "upto")
+    counted = written(docs.select("doc_id", "source", words(F.col("text")).alias("__words")), "words")  # the texts are read once
+    return mix(counted, tokens=F.col("__words"), entropy_part=0.5).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "upto")
 
 
 _WORDS = "coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT"
@@ -117,7 +129,7 @@ _KEY15 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, '') AS o, {_WORDS} AS n_tokens FROM documents),
 s AS (SELECT o, sum(n_tokens)::BIGINT AS t, count(*) AS n FROM d GROUP BY o),
-p AS (SELECT o, t, n, t::DOUBLE / (SELECT sum(t) FROM s)::DOUBLE AS p FROM s),
+p AS (SELECT o, t, n, coalesce(t::DOUBLE / nullif((SELECT sum(t) FROM s), 0)::DOUBLE, 0) AS p FROM s),
 g AS (SELECT sum(-p * ln(p)) + (ln(count(*)) - sum(-p * ln(p))) * 0.5 AS target FROM p WHERE p > 0),
 b(i, lo, hi) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
@@ -125,9 +137,9 @@ b(i, lo, hi) AS (
   SELECT i + 1, CASE WHEN fits THEN lo ELSE (lo + hi) / 2 END, CASE WHEN fits THEN (lo + hi) / 2 ELSE hi END
   FROM (SELECT i, lo, hi, (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) <= (SELECT target FROM g) FROM p WHERE p > 0) AS fits FROM b WHERE i < {STEPS})
 ),
-w AS (SELECT o, t, n, round(pow(p, (SELECT hi FROM b WHERE i = {STEPS})) / (SELECT sum(pow(p, (SELECT hi FROM b WHERE i = {STEPS}))) FROM p WHERE p > 0), 9) AS weight FROM p),
+w AS (SELECT o, t, n, round(CASE WHEN p > 0 THEN pow(p, (SELECT hi FROM b WHERE i = {STEPS})) ELSE 0 END / (SELECT sum(pow(p, (SELECT hi FROM b WHERE i = {STEPS}))) FROM p WHERE p > 0), 9) AS weight FROM p),
 plan AS (SELECT o, t, weight, floor(weight * (SELECT sum(t) FROM s)::DOUBLE)::BIGINT AS budget, ceil(sqrt(n))::BIGINT AS blocks FROM w),
-e AS (SELECT doc_id, source, d.o, n_tokens, weight, budget, t, {_KEY15.format("'7|' || coalesce(doc_id::VARCHAR, '')")} % blocks AS blk, unnest(range(0, (budget // t) + 1)) AS epoch FROM d JOIN plan ON d.o = plan.o),
+e AS (SELECT doc_id, source, d.o, n_tokens, weight, budget, t, {_KEY15.format("'7|' || coalesce(doc_id::VARCHAR, '')")} % blocks AS blk, unnest(range(0, CASE WHEN t > 0 THEN budget // t ELSE 0 END + 1)) AS epoch FROM d JOIN plan ON d.o = plan.o),
 r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY o, epoch, blk ORDER BY {_KEY15.format("'7|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')")}, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM e),
 k AS (SELECT o, epoch, blk, sum(n_tokens) AS nb, {_KEY15.format("'7|block|' || epoch || '|' || o || '|' || blk")} AS ord FROM e GROUP BY o, epoch, blk),
 kk AS (SELECT o, epoch, blk, row_number() OVER (PARTITION BY o, epoch ORDER BY ord, blk) AS block, sum(nb) OVER (PARTITION BY o, epoch ORDER BY ord, blk ROWS UNBOUNDED PRECEDING) - nb AS before FROM k)
