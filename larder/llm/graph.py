@@ -46,7 +46,8 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     keys (a plan that is cheap to run again): long key, long id, int n (a size; may be left out), long rest (a bound or a code); sizes: condition on na, nb that any
     linked pair meets, and nearer sizes rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets; group_rests: the same for
     two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
-    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are dealt; verify: table of distinct pairs (a, b) to a
+    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are
+    dealt (components that share a part of more than FEW rows are then compared by their least ids in it; without split by all their rows); verify: table of distinct pairs (a, b) to a
     written table of the linked ones.
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
@@ -90,11 +91,14 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
         parts = written(large.withColumn("key", F.explode(F.expr(split))), "parts")
         spread = parts.groupBy("key").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "of")
         rest = written(rest.where(f"of <= {FEW}").unionByName(parts.join(spread, "key").select(*rest.columns)), "rest")
-        large = rest.where(f"of > {FEW}").select(*own)
-    few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
+        # parts that stay large: their components are compared by their least ids there
+        least = rest.where(f"of > {FEW}").groupBy("key", "label").agg(F.min(F.struct("id", "n", "rest")).alias("x")).select("key", "x.*", "label")
+        large = None
+    few = rest.where(f"of <= {FEW}").select(*own)
+    few = (few.unionByName(written(least, "least")) if split else few).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
     last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = last.unionByName(_large_buckets(large, sizes, rests, group_rests)).distinct()
+    last = (last if split else last.unionByName(_large_buckets(large, sizes, rests, group_rests))).distinct()
     more = verify(last)
     return found if more.isEmpty() else components(links.unionByName(more))
 
