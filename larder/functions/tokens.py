@@ -20,9 +20,14 @@ def words(text: Column) -> Column:
 
 def repeats_trigram(text: Column) -> Column:
     """Whether three words are followed by the same three."""
-    w = words(text)
-    at = F.when(F.size(w) >= 6, F.sequence(F.lit(1), F.size(w) - 5))
-    return F.coalesce(F.exists(at, lambda i: F.slice(w, i, 3) == F.slice(w, i + 3, 3)), F.lit(False))
+
+
+    def repeats(w: Column) -> Column:
+        at = F.when(F.size(w) >= 6, F.sequence(F.lit(1), F.size(w) - 5))
+        return F.exists(at, lambda i: F.slice(w, i, 3) == F.slice(w, i + 3, 3))
+
+    # the words are bound once: inside the lambda they would be split again for each place
+    return F.coalesce(F.transform(F.array(words(text)), repeats)[0], F.lit(False))
 
 
 def response_warnings(text: Column, leaks: list[str] | None = None, finish: Column | None = None) -> Column:

@@ -90,10 +90,11 @@ class Factor:
     required_column: str | None = None
     params: Mapping[str, Any] = field(default_factory=dict)
     custom: Callable[[Column], Column] | None = None
+    label: str | None = None
 
     @property
     def name(self) -> str:
-        return self.scorer
+        return self.label or self.scorer
 
 
 @dataclass(frozen=True)
@@ -183,6 +184,11 @@ def active_factors(df: DataFrame, factors: tuple[Factor, ...], linear: bool = Fa
     return [Factor(**{**f.__dict__, "weight": w / total if total else 0.0}) for f, w in zip(kept, weights, strict=True)]
 
 
+def _distinct(names: list[str]) -> list[str]:
+    """The names, repeated ones with a number: they are keys of a map."""
+    return [n if n not in names[:i] else f"{n}_{names[:i].count(n) + 1}" for i, n in enumerate(names)]
+
+
 def rank_factors(df: DataFrame, factors: tuple[Factor, ...], linear: bool = False) -> DataFrame:
     """``df`` with final_score and maps raw, normalised and contribution by factor. An unknown scorer keeps its weight but adds nothing."""
     known = [(f"__f{i}", f) for i, f in enumerate(active_factors(df, factors, linear)) if f.scorer in SCORERS]
@@ -191,7 +197,8 @@ def rank_factors(df: DataFrame, factors: tuple[Factor, ...], linear: bool = Fals
         return df.withColumns({"final_score": F.lit(0.0), "raw": empty, "normalised": empty, "contribution": empty})
     scored = df.withColumns({c: SCORERS[f.scorer](df, f.params).cast("double") for c, f in known})
     told = normalised(scored, {c: (f.normalisation, f.invert, f.custom) for c, f in known})
-    of = lambda e: F.create_map(*(x for c, f in known for x in (F.lit(f.name), e(c, f))))
+    names = _distinct([f.name for _, f in known])
+    of = lambda e: F.create_map(*(x for n, (c, f) in zip(names, known, strict=True) for x in (F.lit(n), e(c, f))))
     total = sum((F.col(f"norm_{c}") * f.weight for c, f in known), F.lit(0.0))
     return told.withColumns({"final_score": total, "raw": of(lambda c, f: F.col(c)), "normalised": of(lambda c, f: F.col(f"norm_{c}")), "contribution": of(lambda c, f: F.col(f"norm_{c}") * f.weight)}).drop(*(x for c, _ in known for x in (c, f"norm_{c}")))
 
@@ -212,7 +219,10 @@ def objective_value(df: DataFrame, o: Objective) -> Column:
     there = name in df.columns
     if o.type == "categorical":
         wanted = list(o.target) if isinstance(o.target, (list, tuple, set)) else [o.target]
-        value = F.coalesce(F.col(f"`{name}`").isin(wanted), F.lit(False)).cast("double") if there else F.lit(0.0)
+        if there and isinstance(df.schema[name].dataType, T.ArrayType):  # a target in the list
+            value = F.coalesce(F.arrays_overlap(F.col(f"`{name}`"), F.array(*map(F.lit, wanted))), F.lit(False)).cast("double")
+        else:
+            value = F.coalesce(F.col(f"`{name}`").isin(wanted), F.lit(False)).cast("double") if there else F.lit(0.0)
     elif o.type == "boolean":
         kind = df.schema[name].dataType if there else None
         c = F.col(f"`{name}`") if there else None
@@ -234,7 +244,8 @@ def rank_objectives(df: DataFrame, objectives: tuple[Objective, ...]) -> DataFra
     if not live:
         return df.withColumns({"final_score": F.lit(0.0), "raw": empty, "normalised": empty, "contribution": empty})
     told = normalised(df.withColumns({c: objective_value(df, o) for c, o in live}), {c: (o.normalisation, o.direction == "minimize") for c, o in live})
-    of = lambda e: F.create_map(*(x for c, o in live for x in (F.lit(o.name), e(c, o))))
+    names = _distinct([o.name for _, o in live])
+    of = lambda e: F.create_map(*(x for n, (c, o) in zip(names, live, strict=True) for x in (F.lit(n), e(c, o))))
     total = sum((F.col(f"norm_{c}") * o.weight for c, o in live), F.lit(0.0))
     return told.withColumns({"final_score": total, "raw": of(lambda c, o: F.col(c)), "normalised": of(lambda c, o: F.col(f"norm_{c}")), "contribution": of(lambda c, o: F.col(f"norm_{c}") * o.weight)}).drop(*(x for c, _ in live for x in (c, f"norm_{c}")))
 
@@ -285,6 +296,24 @@ STRATEGIES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {
 OPTIMIZERS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {name: (lambda df, c: rank_objectives(df, c.objectives)) for name in ("weighted_sum", "pareto", "topsis", "promethee", "electre", "learning_to_rank")}
 
 
+def register_strategy(name: str, strategy: Callable[[DataFrame, Config], DataFrame]) -> None:
+    STRATEGIES[name.lower()] = strategy
+
+
+def register_optimizer(name: str, optimizer: Callable[[DataFrame, Config], DataFrame]) -> None:
+    OPTIMIZERS[name.lower()] = optimizer
+
+
+def numbered(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in the order ``by``, without a window over all rows: ranges of the sorted table are numbered apart,
+    and the rows of the ranges before are added. ``by`` must leave no ties, so that both readings of the table agree."""
+    ranged = df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id())
+    before = ranged.groupBy("__range").agg(F.count("*").alias("__rows"))  # a row for each range
+    before = before.withColumn("__before", F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).drop("__rows")
+    within = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*by)))
+    return within.join(F.broadcast(before), "__range").withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__range", "__at", "__before")
+
+
 def _of(table: Mapping[str, Callable], name: str, what: str) -> Callable:
     if name.lower() not in table:
         raise ValueError(f"unknown {what} {name!r}; known: {sorted(table)}")
@@ -298,13 +327,13 @@ def rank(df: DataFrame, config: Config, order: str = "row_id") -> DataFrame:
     """
     scored = _of(OPTIMIZERS, config.optimizer, "optimizer")(df, config) if config.objectives else _of(STRATEGIES, config.strategy, "strategy")(df, config)
     base = [F.asc(order)]
-    if config.diversity_weight and config.diversity_column:
+    if config.diversity_weight:  # without a column all rows are one group
         scored = diversify(scored, config.diversity_column, config.diversity_weight, base).withColumn("penalty", F.col("final_score") - F.col("adjusted_score")).withColumn("final_score", F.col("adjusted_score")).drop("adjusted_score")
     by = [F.desc("final_score"), *base]
     if config.max_results:
         top = scored.orderBy(*by).limit(config.max_results)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*by)))  # max_results rows
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    return numbered(scored, by)
 
 
 def statistics(ranked: DataFrame) -> DataFrame:

@@ -91,8 +91,12 @@ def search(items: DataFrame, query: Sequence[float] | Column, k: int, metric: st
 
 
 def attach(top: DataFrame, items: DataFrame, key: str = "row_id") -> DataFrame:
-    """The items' columns for the rows of a top-k, which has k rows at most and is broadcast."""
-    return items.join(F.broadcast(top), key, "right")
+    """The items' columns for the rows of a top-k, which has k rows at most: it is broadcast to find its items, and they are broadcast to it.
+
+    The items are scanned once and not shuffled.  Rows without an item keep nulls; items that share a key are one each.
+    """
+    found = items.join(F.broadcast(top.select(key).distinct()), key, "left_semi")
+    return top.join(F.broadcast(found), key, "left")
 
 
 def search_near(items: DataFrame, query_id: int, k: int, metric: str = "ip", threshold: float | None = None, key: str = "row_id", vector: str = "embedding") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +14,12 @@ from ..functions.vectors import wide
 CSV_NAMES = ("menu_items.csv", "recipes.csv")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV with a header. NaN in numeric columns counts as missing; give a schema to spare the pass that infers one."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """A CSV with a header. NaN in numeric columns counts as missing; give a schema to spare the pass that infers one.
+
+    Cells with line ends need ``multiline``, for which one task reads a file; without it large files are split.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return missing_as_null(df)
 
@@ -44,8 +47,11 @@ def discover(folder: str | Path) -> Path:
 
 
 def with_row_id(df: DataFrame, by: list[str] | None = None, name: str = "row_id") -> DataFrame:
-    """A row id that doesn't depend on partitions: a hash of the row's values (or of ``by``)."""
-    return df.withColumn(name, F.xxhash64(*(F.col(f"`{c}`") for c in by or df.columns)))
+    """A row id that doesn't depend on partitions: a hash of the row's values (or of ``by``) and of its number among equal rows."""
+    values = [F.col(f"`{c}`") for c in by or df.columns]
+    hashed = df.withColumn("__hash", F.xxhash64(*values))
+    nth = F.row_number().over(Window.partitionBy("__hash").orderBy("__hash"))
+    return hashed.withColumn("__nth", nth).withColumn(name, F.when(F.col("__nth") == 1, F.col("__hash")).otherwise(F.xxhash64("__hash", "__nth"))).drop("__hash", "__nth")
 
 
 def write_items(df: DataFrame, path: str) -> None:

@@ -85,3 +85,12 @@ def test_objectives_and_conflicts(items):
 def test_config_from_json(tmp_path):
     (tmp_path / "c.json").write_text('{"factors": [{"scorer": "PriceScore", "weight": 2}], "max_results": 3}')
     assert R.Config.load(str(tmp_path / "c.json")) == Config((Factor("PriceScore", 2),), max_results=3)
+
+
+def test_full_rank_needs_no_window_over_all_rows(spark):
+    rows = [(i, float(i * 37 % 101)) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, rating double")
+    ranked = R.rank(df, Config((Factor("RatingScore", label="stars"), Factor("RatingScore", 0.5))))
+    got = [r["row_id"] for r in sorted(ranked.collect(), key=lambda r: r["rank"])]
+    assert got == [i for i, v in sorted(rows, key=lambda x: (-x[1], x[0]))] and sorted(r["rank"] for r in ranked.collect()) == list(range(1, 501))
+    assert set(ranked.first()["raw"]) == {"stars", "RatingScore"}
