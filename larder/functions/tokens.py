@@ -33,13 +33,13 @@ def repeats_trigram(text: Column) -> Column:
 def response_warnings(text: Column, leaks: list[str] | None = None, finish: Column | None = None) -> Column:
     """Names of the failed checks, in order. An empty or blank response gets that one warning alone.
 
-    leaks: parts of the system prompt that no response may quote; what follows ``the query was:`` is not looked at.
+    leaks: parts of the system prompt that no response may quote, with or without their full stop; what follows ``the query was:`` is not looked at.
     """
     stripped = F.regexp_replace(text, "^\\s+|\\s+$", "")
     seen = F.substring_index(F.lower(text), "the query was:", 1)
     leaked = F.lit(False)
     for part in leaks or ():
-        leaked = leaked | F.contains(seen, F.lit(part.lower()))
+        leaked = leaked | F.contains(seen, F.lit(part.lower().rstrip(".")))
     checks = [
         (F.contains(text, F.lit("�")), "invalid characters"),
         (F.char_length(stripped) < 10, "too short"),

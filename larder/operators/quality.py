@@ -14,12 +14,13 @@ from .schema import CANONICAL
 
 # Which columns a table must, should and may have.
 MANDATORY = ["recipe_name", "ingredients"]
+#: What a table loses without each of these.
 RECOMMENDED = {
-    "price": "Price information is unavailable — Budget Filtering disabled.",
-    "meal_type": "Meal type information is unavailable — Meal Type Filtering disabled.",
-    "diet_labels": "Dietary labels are unavailable — Keto/Vegan/Dietary Recommendations disabled.",
-    "protein_g_per_serving": "Protein information is unavailable — High Protein Recommendations disabled.",
-    "calories_per_serving": "Calorie information is unavailable — Nutrition Search / Low Calorie Recommendations disabled.",
+    "price": "no price: budgets can't be met",
+    "meal_type": "no meal type: meals can't be told apart",
+    "diet_labels": "no diet labels: diets (keto, vegan and others) can't be kept",
+    "protein_g_per_serving": "no protein: nothing can be suggested as rich in it",
+    "calories_per_serving": "no calories: no search by nutrition, nothing can be suggested as light",
 }
 OPTIONAL = ["rating", "description", "image_url", "cuisine_type", "preparation_time_minutes", "availability", "popularity", "item_type"]
 

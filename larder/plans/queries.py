@@ -502,7 +502,7 @@ _add(
     "response_checks",
     lambda s, d: table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.array_join(tokens.response_warnings(F.col("text"), prompts.system_parts("the restaurant's assistant")), "|").alias("warnings")),
     f"""SELECT conv_id, turn, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN s = '' THEN 'whitespace only' ELSE concat_ws('|', CASE WHEN contains(text, chr(65533)) THEN 'invalid characters' END, CASE WHEN length(s) < 10 THEN 'too short' END, CASE WHEN length(text) > 10000 THEN 'too long' END, CASE WHEN {SQL_REPEATS} THEN 'repetition' END,
-      CASE WHEN contains(q, 'you are the restaurant''s assistant.') OR contains(q, 'a professional restaurant assistant.') OR contains(q, 'never invent dishes.') OR contains(q, 'only answer using the supplied context.') THEN 'prompt leakage' END) END AS warnings
+      CASE WHEN contains(q, 'your role: the restaurant''s assistant') OR contains(q, 'you help guests to choose from the menu') OR contains(q, 'speak of no dish that is missing from the list below') OR contains(q, 'take every fact from that list and from nowhere else') THEN 'prompt leakage' END) END AS warnings
     FROM (SELECT *, {SQL_WORDS} AS w, {LAST} AS s, string_split(lower(text), 'the query was:')[1] AS q FROM conversations WHERE role = 'assistant')""",
 )
 _add(

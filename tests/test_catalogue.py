@@ -128,12 +128,12 @@ def test_prompts(spark):
     fitted, left, turns, taken = prompts.fit_budget(settings, items, [("User", "hi")] * 5, "q")
     assert taken == ["few-shot examples", "last 2 turns", "metadata", "ingredients", "description"] and fitted.few_shot == () and len(turns) == 2 and "description" not in left.columns
     built = prompts.build_prompts(spark.createDataFrame([(1, "soup?")], "conv_id long, query string"), items.withColumn("conv_id", F.lit(1)), spark.createDataFrame([(1, 0, "User", "hello")], "conv_id long, turn long, role string, text string"), prompts.Settings()).first()
-    assert built["prompt"].endswith("Conversation History:\nUser: hello\n\nCurrent User Query: soup?") and built["n_tokens"] == -(-len(built["prompt"]) // 4)
+    assert built["prompt"].endswith("## So far\nUser: hello\n\nGuest asks: soup?") and built["n_tokens"] == -(-len(built["prompt"]) // 4)
     cache = prompts.ResponseCache(most=1)
     cache.set("p", "r", top_k=1)
     assert cache.get("p", top_k=1) == "r" and cache.get("p", top_k=2) is None
-    rows = [("a b c a b c",), ("",), ("  ",), ("You are Bob. Hello there",), ("fine and long enough",)]
-    told = [r[0] for r in spark.createDataFrame(rows, "t string").select(tokens.response_warnings(F.col("t"), ["You are Bob"])).collect()]
+    rows = [("a b c a b c",), ("",), ("  ",), ("You are Bob and here to help",), ("fine and long enough",)]
+    told = [r[0] for r in spark.createDataFrame(rows, "t string").select(tokens.response_warnings(F.col("t"), ["You are Bob."])).collect()]
     assert told == [["repetition"], ["empty"], ["whitespace only"], ["prompt leakage"], []]
 
 
