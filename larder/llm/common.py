@@ -30,11 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+#: How a table of hashes is written: they don't repeat, so that a dictionary is work for nothing.
+HASHES_ONLY = {"parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.larder_path = path
     for held in _SCRATCH:
