@@ -88,7 +88,9 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     rest = written(rest, "rest")
     large = rest.where(f"of > {FEW}").select(*own)
     if split:
-        parts = written(large.withColumn("key", F.explode(F.expr(split))), "parts")
+        # buckets of one component have nothing to compare
+        mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        parts = written(large.join(small(written(mixed, "mixed")), "key", "left_semi").withColumn("key", F.explode(F.expr(split))), "parts")
         spread = parts.groupBy("key").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "of")
         rest = written(rest.where(f"of <= {FEW}").unionByName(parts.join(spread, "key").select(*rest.columns)), "rest")
         # parts that stay large: their components are compared by their least ids there
