@@ -30,8 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: How a table of hashes is written: they don't repeat, so that a dictionary is work for nothing.
-HASHES_ONLY = {"parquet.enable.dictionary": "false"}
+#: How a table of hashes is written: they don't repeat, so that a dictionary or a high level is work for nothing.
+HASHES_ONLY = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
@@ -81,14 +81,16 @@ def slices(batches, rows: int = 512):
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of few rows for what is executed inside: where rows hold large binaries."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Arrow batches of few rows, and of 16 MB at most, for what is executed inside: where rows hold large binaries."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 _SHIPPED: list = []

@@ -67,6 +67,31 @@ def test_edit_similarity():
         assert lines.similar(a, b, 80) == (distance(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
+def test_edit_similarity_of_many_pairs(monkeypatch):
+    rng = random.Random(7)
+    one, two = ["", "", "a", "ab" * 900], ["", "a", "", "ba" * 900]
+    for letters in ("ab", "abcdefgh ", "aé語ß \U0001f600"):
+        for n in (1, 2, 5, 30, 63, 64, 65, 127, 128, 129, 200):
+            for _ in range(6):
+                a = "".join(rng.choice(letters) for _ in range(n))
+                b = "".join(rng.choice([c, c, c, c, c, "", c + rng.choice(letters), rng.choice(letters)]) for c in a)
+                one, two = one + [a], two + [b]
+    for percent in (60, 80, 95):
+        plain = [distance(a, b) <= max(len(a), len(b)) * (100 - percent) // 100 for a, b in zip(one, two)]
+        assert lines.similar_pairs(one, two, percent).tolist() == plain
+        assert lines.similar_pairs(two, one, percent).tolist() == plain
+    monkeypatch.setattr(lines, "TABLE", 0)
+    assert lines.similar_pairs(one, two, 95).tolist() == plain
+    assert lines.similar_pairs([], [], 80).tolist() == []
+
+
+def test_minhashes_of_pieces_equal_those_of_the_whole(monkeypatch):
+    forms = [b"a" * 300, b"bcde" * 50, b"xx yy zz aa bb", b"word " * 2000, b"some more words"]
+    whole = lines.minhashes(forms, 6)
+    monkeypatch.setattr(lines, "CACHED", 100)
+    assert (lines.minhashes(forms, 6) == whole).all()
+
+
 def brute_lines(docs):
     """The places that line dedup leaves out, by comparing all pairs of lines by edit similarity alone."""
     seen = {}
