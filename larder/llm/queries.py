@@ -76,6 +76,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+
+    return repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, after the package is known to the executors."""
 
@@ -88,7 +94,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard)
+    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard, op11_conversation_repair)
     return {f.__name__: _shipped(f) for f in own}
 
 
