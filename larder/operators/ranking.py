@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import METRICS, number, ratio
+from .order import numbered
 
 Scorer = Callable[[DataFrame, Mapping[str, Any]], Column]
 
@@ -304,16 +305,6 @@ def register_optimizer(name: str, optimizer: Callable[[DataFrame, Config], DataF
     OPTIMIZERS[name.lower()] = optimizer
 
 
-def numbered(df: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
-    """``df`` with the place of each row in the order ``by``, without a window over all rows: ranges of the sorted table are numbered apart,
-    and the rows of the ranges before are added. ``by`` must leave no ties, so that both readings of the table agree."""
-    ranged = df.repartitionByRange(*by).withColumn("__range", F.spark_partition_id())
-    before = ranged.groupBy("__range").agg(F.count("*").alias("__rows"))  # a row for each range
-    before = before.withColumn("__before", F.sum("__rows").over(Window.orderBy("__range")) - F.col("__rows")).drop("__rows")
-    within = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(*by)))
-    return within.join(F.broadcast(before), "__range").withColumn(name, (F.col("__at") + F.col("__before")).cast("long")).drop("__range", "__at", "__before")
-
-
 def _of(table: Mapping[str, Callable], name: str, what: str) -> Callable:
     if name.lower() not in table:
         raise ValueError(f"unknown {what} {name!r}; known: {sorted(table)}")
