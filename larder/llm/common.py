@@ -1,10 +1,9 @@
-"""Shared helpers: the shared folder, written intermediate tables, column-name hygiene."""
+"""Shared helpers: the shared folder and written intermediate tables (of the core), shipping, column-name hygiene, lookups."""
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,66 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import forget, scratch, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder exists (tests, a single machine) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get()
-    return folder.rstrip("/")
+__all__ = ["forget", "scratch", "shared_folder", "written"]
 
 
 #: How a table of hashes is written: they don't repeat, so that a dictionary or a high level is work for nothing.
 HASHES_ONLY = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
 
 
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.larder_path = path
-    for held in _SCRATCH:
-        held.append(out)
-    return out
-
-
-_SCRATCH: list[list[DataFrame]] = []
-
-
-@contextlib.contextmanager
-def scratch(*kept: str):
-    """Deletes the tables written inside when it ends without an error, but for those whose names are ``kept``: a result still reads them."""
-    held: list[DataFrame] = []
-    _SCRATCH.append(held)
-    try:
-        yield
-    finally:
-        _SCRATCH.remove(held)
-    for table in held:
-        if table.larder_path.rsplit("/", 1)[1][:-33] not in kept:
-            forget(table)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`written` that no later step reads."""
-    path = getattr(df, "larder_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
-
 def slices(batches, rows: int = 512):
     """Arrow batches in pieces of few rows: what Python holds of long texts at a time stays small."""
     for batch in batches:
