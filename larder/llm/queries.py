@@ -82,6 +82,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, after the package is known to the executors."""
 
@@ -94,11 +100,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard, op11_conversation_repair)
+    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard, op11_conversation_repair, op12_phrase_collocations)
     return {f.__name__: _shipped(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, warc
+    from . import licenses, mixing, phrases, warc
 
-    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL}
+    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op12_phrase_collocations": phrases.SQL}
