@@ -88,6 +88,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, after the package is known to the executors."""
 
@@ -100,11 +106,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard, op11_conversation_repair, op12_phrase_collocations)
+    own = (op1_byte_bpe, op2_licenses, op3_sharding, op4_embedding_dedup, op5_language_id, op6_lines, op7_mixing, op8_warc, op9_media, op10_ngram_jaccard, op11_conversation_repair, op12_phrase_collocations, op13_exact_topk)
     return {f.__name__: _shipped(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, phrases, warc
+    from . import licenses, mixing, phrases, topk, warc
 
-    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op12_phrase_collocations": phrases.SQL}
+    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op12_phrase_collocations": phrases.SQL, "op13_exact_topk": topk.SQL}
