@@ -115,9 +115,7 @@ def batch_search(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip
     Queries are dealt into blocks and items into parts; each pair of both is scored by itself and keeps k rows a query, which
     are then merged.  Vectors that are null or hold a null, and items of another length than the query, have no score and are left out.
     """
-    _, larger = METRICS[metric]
-    whole = lambda df: df.where(F.col(vector).isNotNull() & ~F.exists(vector, F.isnull))
-    own, asked = whole(items.select(key, vector)), whole(queries.select(query_key, vector))
+    own, asked = whole(items.select(key, vector), vector), whole(queries.select(query_key, vector), vector)
     n = own.count()
     parts, blocks = max(-(-n // PART), min(64, -(-n // 64)), 1), max(-(-asked.count() // BLOCK), 1)
     deal = lambda df, by, to, every: df.select(
@@ -125,6 +123,18 @@ def batch_search(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip
     )
     left = deal(own, key, parts, blocks).withColumnsRenamed({"__own": "part", "__other": "block", "__dim": "dim"}).withColumn("part", F.col("part").cast("int"))
     right = deal(asked, query_key, blocks, parts).withColumnsRenamed({"__own": "block", "__other": "part", "__dim": "dim"}).withColumn("block", F.col("block").cast("int"))
+    return best_of_parts(left, right, ["block", "part", "dim"], k, metric, (key, items.schema[key].dataType), (query_key, queries.schema[query_key].dataType))
+
+
+def whole(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector is there and holds no null."""
+    return df.where(F.col(vector).isNotNull() & ~F.exists(vector, F.isnull))
+
+
+def best_of_parts(left: DataFrame, right: DataFrame, by: list[str], k: int, metric: str, key: tuple[str, T.DataType], query_key: tuple[str, T.DataType]) -> DataFrame:
+    """query_key, key, score, rank of the k best of ``left`` for each query of ``right`` (columns key, v, and ``by``, which pairs their parts)."""
+    _, larger = METRICS[metric]
+    (key, key_type), (query_key, query_type) = key, query_key
 
     def best(group, against):
         import numpy as np
@@ -152,8 +162,8 @@ def batch_search(items: DataFrame, queries: DataFrame, k: int, metric: str = "ip
                     scores.append(score[i, near])
         return pa.table({query_key: against["key"].take(pa.array(np.concatenate(of))), key: group["key"].take(pa.array(np.concatenate(at))), "score": np.concatenate(scores)})
 
-    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, items.schema[key].dataType), T.StructField("score", T.DoubleType())])
-    scored = left.groupBy("block", "part", "dim").cogroup(right.groupBy("block", "part", "dim")).applyInArrow(best, schema)
+    schema = T.StructType([T.StructField(query_key, query_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())])
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, schema)
     w = Window.partitionBy(query_key).orderBy(*_order("score", larger, key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
