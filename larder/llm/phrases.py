@@ -9,11 +9,11 @@ Counts of all phrases of one to four words are kept in acyclic automata whose ar
   only balance the work).  A phrase is counted in the range that its own words fall into.
 * The automata of a range are united, and equal phrases' counts are summed; paths under ``least`` are cut from the front, as no phrase
   is more frequent than its beginning.
-* For the cuts of a candidate the counts of its parts are asked for: the parts are an automaton themselves, one for each range they lie in, which
-  is composed with that range's.  The asking weights are the counts of the candidates, so that every phrase learns there how frequent the longest frequent phrase around it is
-  (only phrases one word longer need asking: their own extensions are no more frequent).
+* For the cuts of a candidate the counts of its parts are asked for: the parts that fall into a range are an automaton themselves, which
+  is composed with that range's.  With a part the count of the candidate is told, so that every phrase learns there how frequent the most frequent longer phrase around it is
+  (only phrases one word longer need telling: their own extensions are no more frequent).
 
-Nothing but borders and sums by language leaves the tasks: rows in the shuffles are automata, and the first ones of each language are found by numbering ranges of the sorted candidates.
+The driver sees the borders only.  Texts' counts are shuffled as automata; the first phrases of each language are found by numbering ranges of the sorted candidates.
 
 Defined cases: a null language is ``und``; null and empty texts have no words; texts of any length are taken whole (long ones are counted in runs that end where pieces end);
 repeated rows count each; ties by count, then phrase; all scores are exact integers of any size; an empty table has no phrases; further columns are ignored, whatever their names.
@@ -26,6 +26,7 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,9 @@ from .common import arrow_rows, col, released, scratch, slices, written
 ORDER, LEAST, TOP, WITHIN = 4, 30, 2000, 80
 SCALE = 2_000_000
 #: Bytes of text in a run, and whose phrases make up a prefix range on average.
-RUN_BYTES, RANGE_BYTES = 24 << 20, 4 << 20
+RUN_BYTES, RANGE_BYTES = 12 << 20, 4 << 20
 #: The sample that borders are taken from: documents, phrases of each, bytes of a word.
-SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_WORD = 8192, 32, 32
+SAMPLE_DOCS, SAMPLE_EACH, SAMPLE_WORD = 8192, 8, 32
 SEPARATORS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -60,7 +61,7 @@ def words_of(data: bytes) -> tuple[pa.Array, np.ndarray]:
     word = kind == 0
     edge = np.diff(word.view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[word])]), piece
 
@@ -165,6 +166,15 @@ def cuts(layers: Layers, begins: list[np.ndarray], following: list[np.ndarray],
     return out
 
 
+def _flat(words: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where words begin and end, and their letters."""
+    if not len(words):
+        return np.zeros(1, np.int32), b""
+    _, ends, letters = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1]
+    return ends - ends[0], letters[int(ends[0]) : int(ends[-1])].to_pybytes() if letters else b""
+
+
 def pack(layers: Layers) -> bytes:
     """The automaton in bytes, its states with a single way on shared."""
     arrays, state = [], np.zeros(len(layers.label[-1]), np.int64)
@@ -188,12 +198,15 @@ def pack(layers: Layers) -> bytes:
         state = np.zeros(len(count), np.int64)
         state[several] = np.arange(1, len(several) + 1)
         state[single] = len(several) + 1 + same
-    parts, sizes = [], []
-    for label, weight, state, count in arrays[::-1]:
-        sizes += [len(label), len(count)]
-        parts += [label.astype(np.int32), weight.astype(np.int64), state.astype(np.int32), count.astype(np.int32)]
-    words = b" ".join(layers.words.to_pylist())
-    raw = b"".join([struct.pack("<9q", *sizes, len(words)), words, *(p.tobytes() for p in parts)])
+    parts, sizes, kinds = [], [], b""
+    for arcs in arrays[::-1]:
+        sizes += [len(arcs[0]), len(arcs[3])]
+        for x in arcs:
+            small = np.min_scalar_type(int(x.max())) if len(x) else np.dtype("u1")
+            kinds += small.str[1:].encode()
+            parts.append(x.astype(small).tobytes())
+    ends, letters = _flat(layers.words)
+    raw = b"".join([struct.pack("<10q", *sizes, len(ends), len(letters)), kinds, ends.tobytes(), letters, *parts])
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -220,18 +233,21 @@ def unpack(blobs: list[bytes]) -> Automaton:
     words, columns, shift = [], [[[] for _ in range(ORDER)] for _ in range(4)], [0] * (ORDER + 1)
     for blob in blobs:
         raw = pa.decompress(blob[8:], decompressed_size=struct.unpack("<q", blob[:8])[0], codec="zstd", asbytes=True)
-        *sizes, length = struct.unpack("<9q", raw[:72])
-        words.append(raw[72 : 72 + length].split(b" ") if length else [])
-        at = 72 + length
+        *sizes, many, length = struct.unpack("<10q", raw[:80])
+        kinds = [raw[k : k + 2].decode() for k in range(80, 80 + 8 * ORDER, 2)]
+        at = 80 + 8 * ORDER
+        words.append(pa.Array.from_buffers(pa.binary(), many - 1, [None, pa.py_buffer(raw[at : at + 4 * many]), pa.py_buffer(raw[at + 4 * many : at + 4 * many + length])]))
+        at += 4 * many + length
         for d in range(ORDER):
             n, states = sizes[2 * d : 2 * d + 2]
-            for k, (kind, many) in enumerate(((np.int32, n), (np.int64, n), (np.int32, n), (np.int32, states))):
+            for k, many in enumerate((n, n, n, states)):
+                kind = np.dtype(kinds[4 * d + k])
                 x = np.frombuffer(raw, kind, many, at).astype(np.int64)
-                at += x.size * np.dtype(kind).itemsize
+                at += many * kind.itemsize
                 columns[k][d].append(np.where(x > 0, x + shift[d + 1], 0) if k == 2 else x)
         for d in range(1, ORDER):
             shift[d] += sizes[2 * d + 1]
-    vocabulary, ids = sorted_words(pa.array([w for part in words for w in part], pa.binary()))
+    vocabulary, ids = sorted_words(pa.concat_arrays(words))
     at = 0
     for k, part in enumerate(words):
         place = np.concatenate([[0], ids[at : at + len(part)]])
@@ -280,22 +296,28 @@ def _trimmed(layers: Layers) -> Layers:
     return layers
 
 
-def layers_of(phrases: dict[Phrase, int]) -> Layers:
-    """The automaton, unfolded, of some phrases with weights."""
-    nodes: list[dict[Phrase, int]] = [{} for _ in range(ORDER)]
-    for phrase, weight in phrases.items():
-        for k in range(1, len(phrase)):
-            nodes[k - 1].setdefault(phrase[:k], 0)
-        nodes[len(phrase) - 1][phrase] = weight
-    words = sorted({p[-1] for layer in nodes for p in layer})
-    place, before, out = {w: k + 1 for k, w in enumerate(words)}, {(): 0}, Layers(pa.array(words, pa.binary()), [], [], [])
-    for layer in nodes:
-        here = sorted(layer)
-        out.label.append(np.array([place[p[-1]] for p in here], np.int64))
-        out.weight.append(np.array([layer[p] for p in here], np.int64))
-        out.parent.append(np.array([before[p[:-1]] for p in here], np.int64))
-        before = {p: k for k, p in enumerate(here)}
-    return out
+def layers_of_phrases(phrases: pa.Array) -> tuple[Layers, np.ndarray, np.ndarray]:
+    """The automaton, unfolded and without weights, of phrases whose words are joined by spaces; each phrase's length and its place in its layer."""
+    words, own = words_of(b"\n".join(phrases.to_pylist()))
+    vocabulary, ids = sorted_words(words)
+    length = np.bincount(own, minlength=len(phrases))
+    table = np.zeros((len(phrases), ORDER), np.int64)
+    table[own, np.arange(len(own)) - (np.cumsum(length) - length)[own]] = ids
+    order = np.lexsort(table.T[::-1])
+    table = table[order]
+    changed, out, place = np.zeros(len(order), bool), Layers(vocabulary, [], [], []), np.zeros(len(order), np.int64)
+    changed[:1] = True
+    before = np.zeros(len(order), np.int64)
+    for d in range(ORDER):
+        changed[1:] |= table[1:, d] != table[:-1, d]
+        real = table[:, d] > 0
+        first = changed & real
+        out.label.append(table[first, d])
+        out.weight.append(np.zeros(int(first.sum()), np.int64))
+        out.parent.append(before[first])
+        before = np.cumsum(first) - 1
+        place[order[real]] = before[real]  # the last layer that has it counts
+    return out, length, place
 
 
 def composed(counts: Layers, asked: Layers) -> list[np.ndarray]:
@@ -354,30 +376,41 @@ def borders_of(docs: DataFrame) -> list[Border]:
     return sorted({tuple(map(bytes, keys[len(keys) * k // ranges])) for k in range(1, ranges)}) if keys else []
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Runs of rows with equal first columns; each run is read through before the next."""
-    rows = (tuple(r.values()) for batch in batches for part in slices([batch], 8) for r in part.to_pylist())
-    held = next(rows, None)
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Runs of rows with equal first columns, each as pieces of batches, which are read before the next run."""
 
-    def run(own: tuple) -> Iterator[tuple]:
-        nonlocal held
-        while held is not None and held[:keys] == own:
-            now, held = held, next(rows, None)
-            yield now[keys:]
+    def pieces() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for batch in batches:
+            if batch.num_rows:
+                new = np.zeros(batch.num_rows, bool)
+                new[0] = True
+                for c in batch.columns[:keys]:
+                    new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(new).tolist()
+                for low, high in zip(at, [*at[1:], batch.num_rows], strict=True):
+                    yield tuple(c[low].as_py() for c in batch.columns[:keys]), batch.slice(low, high - low)
 
-    while held is not None:
-        own = held[:keys]
-        yield own, run(own)
+    return ((key, (piece for _, piece in rows)) for key, rows in groupby(pieces(), lambda x: x[0]))
 
 
 def _out(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-_NET = ["range", "lang", "kind", "net"]
-_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
-_DDL = "range long, lang string, kind long, net binary"
-COUNTS, ANSWER, AROUND = -1, 0, 1
+#: What goes between ranges: kind COUNTS, a range's automaton; PART, a phrase, a number and the range that asks; AROUND, an automaton with other weights.
+_ROW = pa.schema([("range", pa.int64()), ("lang", pa.string()), ("kind", pa.int64()), ("net", pa.binary()), ("phrase", pa.binary()), ("n", pa.int64()), ("asks", pa.int64())])
+_DDL = "range long, lang string, kind long, net binary, phrase binary, n long, asks long"
+COUNTS, PART, AROUND = -1, 0, 1
+
+
+def _rows(many: int, /, **columns) -> pa.RecordBatch:
+    """Rows of _ROW; a column is an array or one value for all, and null if it isn't given."""
+
+    def full(f: pa.Field):
+        x = columns.get(f.name)
+        return x if isinstance(x, pa.Array) else pa.nulls(many, f.type) if x is None else pa.repeat(pa.scalar(x, f.type), many)
+
+    return pa.RecordBatch.from_arrays([full(f) for f in _ROW], schema=_ROW)
 
 
 def frequent(docs: DataFrame, borders: list[Border], least: int) -> DataFrame:
@@ -407,8 +440,8 @@ def frequent(docs: DataFrame, borders: list[Border], least: int) -> DataFrame:
         yield from flushed()
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (at, lang), rows in _groups(batches, 2):
-            layers, n = united([net for (net,) in rows], least)
+        for (at, lang), pieces in _runs(batches, 2):
+            layers, n = united([net for piece in pieces for net in piece.column(2).to_pylist()], least)
             yield _out([(at, lang, pack(layers), n)], ["range", "lang", "net", "n"], [pa.int64(), pa.string(), pa.binary(), pa.int64()])
 
     shards = docs.mapInArrow(lambda b: released(runs(b)), "range long, lang string, net binary")
@@ -417,20 +450,22 @@ def frequent(docs: DataFrame, borders: list[Border], least: int) -> DataFrame:
 
 
 def requests(counts: DataFrame, borders: list[Border]) -> DataFrame:
-    """For each range the parts of its candidates, by the range that counts them: kind is the range that asks."""
+    """The parts of each range's candidates, for the ranges that count them; n: the candidate's own count if it is one word longer."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (at, lang), rows in _groups(batches, 2):
-            want: dict[int, dict[Phrase, int]] = defaultdict(dict)
+        for (at, lang), pieces in _runs(batches, 2):
+            want: dict[Phrase, int] = {}
+            for piece in pieces:
+                for net in piece.column(2).to_pylist():
+                    for phrase, often in united([net])[0].phrases():
+                        for k in range(1, len(phrase)) if often else ():
+                            for part in (phrase[:k], phrase[k:]):
+                                want[part] = max(want.get(part, 0), often if len(part) == len(phrase) - 1 else 0)
             code = lang.encode()
-            for (net,) in rows:
-                for phrase, often in united([net])[0].phrases():
-                    for k in range(1, len(phrase)) if often else ():
-                        for part in (phrase[:k], phrase[k:]):
-                            there = want[bisect_right(borders, _padded(code, part))]
-                            there[part] = max(there.get(part, 0), often if len(part) == len(phrase) - 1 else 0)
-            for there, parts in want.items():
-                yield _out([(there, lang, at, pack(layers_of(parts)))], _NET, _KINDS)
+            for k in range(0, len(want), 8192):
+                some = list(islice(want, k, k + 8192))
+                there = [bisect_right(borders, _padded(code, part)) for part in some]
+                yield _rows(len(some), range=pa.array(there, pa.int64()), lang=lang, kind=PART, phrase=pa.array([b" ".join(p) for p in some], pa.binary()), n=pa.array([want[p] for p in some], pa.int64()), asks=at)
 
     return counts.select("range", "lang", "net").mapInArrow(ask, _DDL)
 
@@ -439,55 +474,64 @@ def answers(counts: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asking range the counts of the parts it asked for, and for each range how frequent the longer phrases around its own are."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (at, lang), rows in _groups(batches, 2):
+        for (at, lang), pieces in _runs(batches, 2):
             known, around = None, None
-            for kind, net in rows:  # the counts come first
-                if kind == COUNTS:
-                    known = united([net])[0]
+            for piece in pieces:  # the counts come first
+                if known is None:
+                    known = united(piece.column(3)[:1].to_pylist())[0]
                     around = [np.zeros(len(x), np.int64) for x in known.label]
+                    piece = piece.slice(1)
+                if not piece.num_rows:
                     continue
-                part, _ = united([net], 0)
-                for d, place in enumerate(composed(known, part)):
-                    found = place >= 0
-                    np.maximum.at(around[d], place[found], part.weight[d][found])
-                    part.weight[d] = np.where(found, known.weight[d][place], 0) if len(known.label[d]) else np.zeros(len(place), np.int64)
-                yield _out([(kind, lang, ANSWER, pack(part))], _NET, _KINDS)
-            yield _out([(at, lang, AROUND, pack(Layers(known.words, known.label, around, known.parent)))], _NET, _KINDS)
-
-    both = counts.select("range", "lang", F.lit(COUNTS).cast("long").alias("kind"), "net").unionByName(asked)
+                parts, length, place = layers_of_phrases(piece.column(4))
+                weight, n = piece.column(5).to_numpy(), np.zeros(piece.num_rows, np.int64)
+                for d, there in enumerate(composed(known, parts)):
+                    own = np.flatnonzero(length == d + 1)
+                    node = there[place[own]]
+                    n[own] = known.weight[d][node]  # a part of a frequent phrase is frequent
+                    np.maximum.at(around[d], node, weight[own])
+                yield _rows(len(n), range=piece.column(6), lang=lang, kind=PART, phrase=piece.column(4), n=pa.array(n))
+            yield _rows(1, range=at, lang=lang, kind=AROUND, net=pack(Layers(known.words, known.label, around, known.parent)))
+
+    both = _counted(counts).unionByName(asked)
     return both.repartition("range").sortWithinPartitions("range", "lang", "kind").mapInArrow(lambda b: released(answer(b)), _DDL)
 
 
+def _counted(counts: DataFrame) -> DataFrame:
+    return counts.select("range", "lang", F.lit(COUNTS).cast("long").alias("kind"), "net", F.lit(None).cast("binary").alias("phrase"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("asks"))
+
+
 def scored(counts: DataFrame, told: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, score of the candidates that no longer phrase holds."""
     names, kinds = ["lang", "phrase", "a", "l", "r", "score"], [pa.string(), pa.string(), *[pa.int64()] * 4]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lang), rows in _groups(batches, 2):
-            nets: dict[int, list[bytes]] = defaultdict(list)
-            for kind, net in rows:
-                nets[kind].append(net)
-            if not nets[COUNTS]:
-                continue
-            often = {p: n for net in nets[ANSWER] for p, n in united([net])[0].phrases() if n}
-            around = dict(united(nets[AROUND])[0].phrases())
+        for (_, lang), pieces in _runs(batches, 2):
+            often: dict[bytes, int] = {}
+            nets: dict[int, Layers] = {}
+            for piece in pieces:
+                kind = piece.column(2).to_numpy()
+                for k in np.flatnonzero(kind != PART).tolist():
+                    nets[int(kind[k])] = united([piece.column(3)[k].as_py()])[0]
+                parts = piece.filter(pa.array(kind == PART))
+                often.update(zip(parts.column(4).to_pylist(), parts.column(5).to_pylist(), strict=True))
+            around = {p: n for p, n in nets[AROUND].phrases() if n}
             out = []
-            for phrase, a in united(nets[COUNTS])[0].phrases():
+            for phrase, a in nets[COUNTS].phrases():
                 if len(phrase) > 1 and a and 100 * around.get(phrase, 0) < WITHIN * a:
-                    cut = [(SCALE * a // (often[phrase[:k]] + often[phrase[k:]]), k) for k in range(1, len(phrase))]
-                    least, k = min(cut)
-                    out.append((lang, b" ".join(phrase).decode(), a, often[phrase[:k]], often[phrase[k:]], least))
+                    cut = [(often[b" ".join(phrase[:k])], often[b" ".join(phrase[k:])]) for k in range(1, len(phrase))]
+                    least, k = min((SCALE * a // (l + r), k) for k, (l, r) in enumerate(cut))  # noqa: E741
+                    out.append((lang, b" ".join(phrase).decode(), a, *cut[k], least))
             for k in range(0, len(out), 4096):
                 yield _out(out[k : k + 4096], names, kinds)
 
-    both = counts.select("range", "lang", F.lit(COUNTS).cast("long").alias("kind"), "net").unionByName(told)
-    return both.repartition("range").sortWithinPartitions("range", "lang", "kind").mapInArrow(lambda b: released(score(b)), "lang string, phrase string, a long, l long, r long, score long")
+    return _counted(counts).unionByName(told).repartition("range").sortWithinPartitions("range", "lang", "kind").mapInArrow(lambda b: released(score(b)), "lang string, phrase string, a long, l long, r long, score long")
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` first phrases of each language."""
     docs = df.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), col(text).cast("string").alias("text"))
-    with scratch("collocations"), arrow_rows(df.sparkSession, 64):
+    with scratch("collocations"), arrow_rows(df.sparkSession, 4096):
         borders = borders_of(docs)
         counts = written(frequent(docs, borders, least), "counts")
         told = answers(counts, requests(counts, borders))
