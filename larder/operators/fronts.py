@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import ship, written
 from .order import numbered
 from .ranking import Objective, objective_value
 
@@ -68,6 +68,7 @@ def pareto_front(df: DataFrame, objectives: tuple[Objective, ...]) -> DataFrame:
     if not live:
         return df
     dim = len(live)
+    ship(df.sparkSession)
     rows = df.withColumn("__x", F.array(*_values(df, live)))
     row_schema = rows.schema
 

@@ -1,10 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and this package on the executors."""
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,20 @@ def forget(df: DataFrame) -> None:
         jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SHIPPED: list = []
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each Spark application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="larder-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.append(app)

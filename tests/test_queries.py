@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from larder.plans.queries import QUERIES, SQL
+from larder.plans.all_queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
