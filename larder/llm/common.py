@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import forget, scratch, shared_folder, written
+from ..sources.tables import forget, scratch, ship, shared_folder, written
 
-__all__ = ["forget", "scratch", "shared_folder", "written"]
+__all__ = ["forget", "scratch", "ship", "shared_folder", "written"]
 
 
 #: How a table of hashes is written: they don't repeat, so that a dictionary or a high level is work for nothing.
@@ -41,23 +38,6 @@ def arrow_rows(spark: SparkSession, rows: int):
             spark.conf.set(name, value)
 
 
-_SHIPPED: list = []
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="larder-ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(at))
-    _SHIPPED.append(app)
-
-
 def hashable(df: DataFrame) -> list[str]:
     """Names of the columns that xxhash64 takes (maps have no hash)."""
 
