@@ -1,7 +1,7 @@
 """Multi-factor and multi-objective ranking.
 
 Normalisers see the whole result set.  Their minimum, maximum, mean and deviation are taken by one aggregation, whose single row is
-joined back, so that ranking a full table needs no global window; ordering and diversity use windows by category.
+joined back; order and diversity of a full table are numbered range by range, so that no window holds the table or a large category.
 """
 
 from __future__ import annotations
@@ -49,8 +49,20 @@ def category(df: DataFrame, name: str | None) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("unknown")) if name in df.columns else F.lit("unknown")
 
 
+#: The column that tells how many rows a row's category has, where :func:`counted` has put it.
+CATEGORY_ROWS = "__category_rows"
+
+
+def counted(df: DataFrame, column: str | None) -> DataFrame:
+    """``df`` with the number of rows of each row's category: counted in each task first, then joined, so that a large category is dealt over tasks."""
+    own = df.withColumn("__category", category(df, column))
+    sizes = own.groupBy("__category").agg(F.count("*").alias(CATEGORY_ROWS))
+    return own.join(sizes, own["__category"].eqNullSafe(sizes["__category"]), "left").select(*(own[f"`{c}`"] for c in df.columns), CATEGORY_ROWS)
+
+
 def _diversity(df: DataFrame, p: Mapping[str, Any]) -> Column:
-    return 1 / F.count("*").over(Window.partitionBy(category(df, p.get("column", "category"))))
+    rows = F.col(CATEGORY_ROWS) if CATEGORY_ROWS in df.columns else F.count("*").over(Window.partitionBy(category(df, p.get("column", "category"))))
+    return 1 / rows
 
 
 SCORERS: dict[str, Scorer] = {
@@ -70,6 +82,10 @@ SCORERS: dict[str, Scorer] = {
 REQUIRED = {"RatingScore": "rating", "PriceScore": "price", "NutritionScore": "calories_per_serving", "PopularityScore": "popularity"}
 
 
+#: Scorers that need more than a row's own columns: function (table, parameters) -> the table with them.
+PREPARED: dict[str, Callable[[DataFrame, Mapping[str, Any]], DataFrame]] = {"DiversityScore": lambda df, p: counted(df, p.get("column", "category"))}
+
+
 def register_scorer(name: str, scorer: Scorer) -> None:
     SCORERS[name] = scorer
 
@@ -196,7 +212,10 @@ def rank_factors(df: DataFrame, factors: tuple[Factor, ...], linear: bool = Fals
     if not known:
         empty = F.create_map().cast("map<string,double>")
         return df.withColumns({"final_score": F.lit(0.0), "raw": empty, "normalised": empty, "contribution": empty})
-    scored = df.withColumns({c: SCORERS[f.scorer](df, f.params).cast("double") for c, f in known})
+    scored = df
+    for c, f in known:
+        ready = PREPARED[f.scorer](scored, f.params) if f.scorer in PREPARED else scored
+        scored = ready.withColumn(c, SCORERS[f.scorer](ready, f.params).cast("double")).select(*scored.columns, c)
     told = normalised(scored, {c: (f.normalisation, f.invert, f.custom) for c, f in known})
     names = _distinct([f.name for _, f in known])
     of = lambda e: F.create_map(*(x for n, (c, f) in zip(names, known, strict=True) for x in (F.lit(n), e(c, f))))
@@ -278,13 +297,22 @@ def conflicts(df: DataFrame, objectives: tuple[Objective, ...], limit: float = 0
     return row.where(hit).select("one", "two", "correlation", label.alias("label"))
 
 
-def diversify(df: DataFrame, column: str | None, weight: float, base: list[Column], score: str = "final_score") -> DataFrame:
+#: Rows of a category that each task keeps at most where only so many results are wanted.
+MOST_KEPT = 1000
+
+
+def diversify(df: DataFrame, column: str | None, weight: float, base: list[Column], score: str = "final_score", most: int | None = None) -> DataFrame:
     """adjusted_score: the score less ``weight`` for every better row of the same category.
 
-    Equal to the greedy choice that lowers a category's rows each time one is taken, for weights of 0 and more.
+    Equal to the greedy choice that lowers a category's rows each time one is taken, for weights of 0 and more.  With ``most`` only rows that can be
+    among so many best are kept: each task keeps as many of a category.  Without it a category of any size is numbered range by range.
     """
-    w = Window.partitionBy(category(df, column)).orderBy(F.desc(score), *base)
-    return df.withColumn("adjusted_score", F.col(score) - float(weight) * (F.row_number().over(w) - 1))
+    if most is not None and most <= MOST_KEPT:
+        w = Window.partitionBy(category(df, column)).orderBy(F.desc(score), *base)
+        placed = df.withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most)
+    else:
+        placed = numbered(df.withColumn("__category", category(df, column)), [F.desc(score), *base], by=["__category"], out="__nth").drop("__category")
+    return placed.withColumn("adjusted_score", F.col(score) - float(weight) * (F.col("__nth") - 1)).drop("__nth")
 
 
 #: strategy or optimizer -> function (df, config) -> scored rows. Names without an own method are weighted sums, as a baseline.
@@ -319,7 +347,7 @@ def rank(df: DataFrame, config: Config, order: str = "row_id") -> DataFrame:
     scored = _of(OPTIMIZERS, config.optimizer, "optimizer")(df, config) if config.objectives else _of(STRATEGIES, config.strategy, "strategy")(df, config)
     base = [F.asc(order)]
     if config.diversity_weight:  # without a column all rows are one group
-        scored = diversify(scored, config.diversity_column, config.diversity_weight, base).withColumn("penalty", F.col("final_score") - F.col("adjusted_score")).withColumn("final_score", F.col("adjusted_score")).drop("adjusted_score")
+        scored = diversify(scored, config.diversity_column, config.diversity_weight, base, most=config.max_results).withColumn("penalty", F.col("final_score") - F.col("adjusted_score")).withColumn("final_score", F.col("adjusted_score")).drop("adjusted_score")
     by = [F.desc("final_score"), *base]
     if config.max_results:
         top = scored.orderBy(*by).limit(config.max_results)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import ranking as R
+from larder.operators.order import numbered
 from larder.operators.ranking import Config, Factor, Objective
 
 BURGERS = [
@@ -57,19 +58,41 @@ def test_unknown_names(items):
 
 
 def test_diversity_equals_the_greedy_choice(spark):
-    rng, rows, want = random.Random(5), [], {}
+    rng, cases = random.Random(5), {0.0: [], 0.3: [], 1.0: []}
+    want = {w: {} for w in cases}
     for case in range(60):
         n, w = rng.randint(1, 7), rng.choice([0.0, 0.3, 1.0])
-        own = [(case * 10 + i, rng.choice("ab"), rng.randint(0, 4) / 2) for i in range(n)]
-        left, seen, adjusted = list(own), {}, {}
+        own = [(case * 10 + i, f"{case}{rng.choice('ab')}", rng.randint(0, 4) / 2) for i in range(n)]
+        cases[w] += own
+        left, seen = list(own), {}
         while left:
             best = max(left, key=lambda r: (r[2] - seen.get(r[1], 0) * w, -r[0]))
-            adjusted[best[0]] = best[2] - seen.get(best[1], 0) * w
+            want[w][best[0]] = best[2] - seen.get(best[1], 0) * w
             seen[best[1]] = seen.get(best[1], 0) + 1
             left.remove(best)
-        got = R.diversify(spark.createDataFrame(own, "row_id int, category string, final_score double"), "category", w, [F.asc("row_id")])
-        if case < 12:
-            assert {r["row_id"]: pytest.approx(r["adjusted_score"]) for r in got.collect()} == adjusted
+    for w, rows in cases.items():
+        df = spark.createDataFrame(rows, "row_id int, category string, final_score double")
+        told = {r["row_id"]: r["adjusted_score"] for r in R.diversify(df, "category", w, [F.asc("row_id")]).collect()}
+        assert told == {k: pytest.approx(v) for k, v in want[w].items()}
+        few = R.diversify(df, "category", w, [F.asc("row_id")], most=2).orderBy(F.desc("adjusted_score"), "row_id").limit(2).collect()
+        assert [r["row_id"] for r in few] == sorted(told, key=lambda k: (-told[k], k))[:2]
+
+
+def test_a_category_of_nine_tenths_is_dealt_over_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 > 0, "hot").alias("category"), (F.col("id") * 37 % 5003).cast("double").alias("final_score"))
+        ranges = numbered(df, [F.desc("final_score")], by=["category"]).larder_tables[0]
+        parts = ranges.where("category = 'hot'").groupBy(F.shiftright("__id", 33)).count().collect()
+        assert len(parts) > 8 and max(r["count"] for r in parts) < 5000
+        got = R.diversify(df, "category", 0.5, [F.asc("row_id")])
+        assert got.where("category = 'hot'").agg(F.min("adjusted_score")).first()[0] == -0.5 * 17_999
+        ranked = R.rank_factors(df, (Factor("DiversityScore", normalisation="identity"),)).groupBy("category", "final_score").count().collect()
+        assert sorted((r["category"] or "", round(1 / r["final_score"]), r["count"]) for r in ranked) == [("", 2000, 2000), ("hot", 18000, 18000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_objectives_and_conflicts(items):
