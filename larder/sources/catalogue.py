@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import wide
+from .csv_splits import read_split_csv
 
 CSV_NAMES = ("menu_items.csv", "recipes.csv")
 
@@ -17,9 +18,11 @@ CSV_NAMES = ("menu_items.csv", "recipes.csv")
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
     """A CSV with a header. NaN in numeric columns counts as missing; give a schema to spare the pass that infers one.
 
-    Cells with line ends need ``multiline``, for which one task reads a file; without it large files are split.
+    Cells with line ends need ``multiline``; large files are split over tasks with it, too.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
+    if multiline:
+        return missing_as_null(read_split_csv(spark, path, schema))
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return missing_as_null(df)
 

@@ -65,7 +65,7 @@ def test_cache_answers_equal_prompts_once(spark, tmp_path):
     asked = spark.createDataFrame([(k, p) for k, p in enumerate(["a dish?", "a dish?", "silent", "soup?", None, "a dish?"])], "id long, prompt string")
     first = engine.answer(asked, now=1000)
     assert {r["id"]: (r["response"], r["cached"], r["warnings"]) for r in first.collect()} == {
-        0: ("answer to a dish?", False, []), 1: ("answer to a dish?", False, []), 2: ("", False, ["empty"]), 3: ("answer to soup?", False, []), 4: ("answer to ", False, []), 5: ("answer to a dish?", False, [])
+        0: ("answer to a dish?", False, []), 1: ("answer to a dish?", False, []), 2: ("", False, ["empty"]), 3: ("answer to soup?", False, []), 4: ("answer to ", False, ["too short"]), 5: ("answer to a dish?", False, [])
     }
     assert calls.value == 4 and first.count() == 6 and calls.value == 4
     again = engine.answer(asked.where("id in (1, 3)").union(spark.createDataFrame([(9, "new?")], "id long, prompt string")), now=1050)
