@@ -42,15 +42,17 @@ def hash_provider(dim: int = DIM, noise: float = NOISE) -> Provider:
                 out[i] += noise * np.random.default_rng(seed).random(dim)
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    encode.dim = dim
     return encode
 
 
 def embed(df: DataFrame, text: str, provider: Provider | None = None, cache: DataFrame | None = None, batch: int = 64, out: str = "embedding") -> DataFrame:
     """``df`` with an embedding and text_hash; each distinct text is encoded once, and not if the cache (text_hash, embedding) has it.
 
-    A batch that fails gives zero vectors and is_success false.
+    A batch that fails gives zero vectors, as long as the provider's attribute ``dim`` says, and is_success false.
     """
     encode = provider or hash_provider()
+    width = getattr(encode, "dim", DIM)
     hashed = df.withColumn("__text", sanitised(F.col(text))).withColumn("text_hash", F.sha2(F.col("__text"), 256))
     wanted = hashed.select("text_hash", "__text").dropDuplicates(["text_hash"])
     if cache is not None:
@@ -63,7 +65,7 @@ def embed(df: DataFrame, text: str, provider: Provider | None = None, cache: Dat
                 try:
                     vectors, ok = [v.tolist() for v in encode(part["__text"].tolist())], True
                 except Exception:  # noqa: BLE001 - the batch is marked
-                    vectors, ok = [[0.0] * DIM] * len(part), False
+                    vectors, ok = [[0.0] * width] * len(part), False
                 yield pd.DataFrame({"text_hash": part["text_hash"], out: vectors, "is_success": ok})
 
     made = wanted.mapInPandas(run, f"text_hash string, {out} array<float>, is_success boolean")

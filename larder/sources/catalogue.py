@@ -95,8 +95,13 @@ def save_json(value: dict, path: str) -> None:
 
 def load_json(path: str, required: tuple[str, ...] = ()) -> dict:
     """A JSON object that has the required keys."""
+    return checked_json(Path(path).read_text(), path, required)
+
+
+def checked_json(text: str, path: str, required: tuple[str, ...] = ()) -> dict:
+    """The JSON object in the text of ``path``, which has the required keys."""
     try:
-        value = json.loads(Path(path).read_text())
+        value = json.loads(text)
     except json.JSONDecodeError as e:
         raise ValueError(f"{path} is no JSON") from e
     missing = [k for k in required if k not in value]
