@@ -35,7 +35,7 @@ class Settings:
 SCORE_WEIGHTS = {"fiber_g_per_serving": 2.0, "protein_g_per_serving": 1.0, "sodium_mg_per_serving": -0.05, "sugar_g_per_serving": -1.0, "saturated_fat_g_per_serving": -2.0}
 PRICE_LABELS = {"budget_category": ("budget", "mid-range", "premium"), "price_level": ("$", "$$", "$$$"), "price_bucket": ("<=$10", "$10-$25", ">$25")}
 MEAT = ["meat", "chicken", "pork", "beef", "fish", "lamb", "duck", "turkey", "seafood", "shrimp", "crab", "lobster", "lard"]
-ANIMAL = [*MEAT, "egg", "milk", "cheese", "butter", "cream", "yogurt", "honey", "gelatin"]
+ANIMAL = ["meat", "chicken", "pork", "beef", "fish", "egg", "milk", "cheese", "butter", "cream", "yogurt", "honey", "lamb", "duck", "turkey", "seafood", "shrimp", "crab", "lobster", "gelatin", "lard"]
 GLUTEN = ["wheat", "barley", "rye", "flour", "semolina", "spelt", "pasta", "bread"]
 DAIRY = ["milk", "cheese", "butter", "cream", "yogurt", "whey", "casein", "ghee"]
 HARAM = ["pork", "lard", "alcohol", "wine", "beer", "gelatin", "bacon"]

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Labels by key. Other languages are added with add_language().
+from .labels import ARABIC, FRENCH
+
+# Labels by key. Further languages are added with add_language().
 ENGLISH = {
     "recipe_name": "Menu Item Name",
     "item_type": "Menu Item Category",
@@ -58,7 +60,7 @@ ENGLISH = {
     "low_sodium": "Low Sodium",
     "high_fiber": "High Fiber",
 }
-LANGUAGES: dict[str, dict[str, str]] = {"en": ENGLISH}
+LANGUAGES: dict[str, dict[str, str]] = {"en": ENGLISH, "ar": ARABIC, "fr": FRENCH}
 
 
 def add_language(code: str, labels: dict[str, str]) -> None:

@@ -63,16 +63,22 @@ RULES: dict[str, list[tuple[str, Violation]]] = {
 }
 
 
+def absent(df: DataFrame, name: str) -> Column:
+    """Whether a cell is missing: null, or no number."""
+    c = F.col(f"`{name}`")
+    return c.isNull() | F.isnan(c) if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def profile_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, missing_percent (2 places), warning (over 50 %): one pass, whatever the number of columns."""
     columns = columns or df.columns
-    told = df.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"c{i}") for i, c in enumerate(columns)))
+    told = df.agg(F.count("*").alias("n"), *(F.count_if(absent(df, c)).alias(f"c{i}") for i, c in enumerate(columns)))
     share = lambda i: F.round(F.coalesce(F.try_divide(F.col(f"c{i}") * 100.0, F.col("n")), F.lit(0.0)), 2)
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), share(i).alias("missing_percent")) for i, c in enumerate(columns)))
     return told.select(F.explode(rows).alias("x")).select("x.column_name", "x.missing_percent", (F.col("x.missing_percent") > 50).alias("warning"))
 
 
-def violations(df: DataFrame, rules: dict[str, list[tuple[str, Violation]]] | None = None, key: str = "row_id", most_ids: int = 100) -> DataFrame:
+def violations(df: DataFrame, rules: dict[str, list[tuple[str, Violation]]] | None = None, key: str = "row_id") -> DataFrame:
     """column_name, rule, n_violations, first_key, first_value of every rule whose column is there: one pass."""
     checks = [(c, name, broken) for c, each in (RULES if rules is None else rules).items() if c in df.columns for name, broken in each]
     if not checks:
