@@ -59,6 +59,16 @@ PERSONAS = {
 }
 
 
+def register_language(name: str, line: str) -> None:
+    """The line that asks for answers in a language."""
+    LANGUAGES[name.lower()] = line
+
+
+def register_persona(name: str, line: str) -> None:
+    """How a persona speaks."""
+    PERSONAS["".join(filter(str.isalpha, name.lower()))] = line
+
+
 def system_parts(assistant: str) -> list[str]:
     """The lines of the system prompt; a response that quotes one leaks it."""
     return [f"Your role: {assistant}.", "You help guests to choose from the menu.", "Speak of no dish that is missing from the list below.", "Take every fact from that list and from nowhere else."]
@@ -172,19 +182,33 @@ def fit_budget(settings: Settings, candidates: DataFrame, turns: list[tuple[str,
     return settings, candidates, turns, taken
 
 
-def build_prompts(queries: DataFrame, ranked: DataFrame, turns: DataFrame | None = None, settings: Settings | None = None, key: str = "conv_id") -> DataFrame:
-    """key, prompt, prompt_hash, n_chars, n_tokens for each row (key, query) of ``queries``; ``ranked`` has the key and its candidates."""
+def listed(lines: DataFrame, title: str, key: str, out: str) -> DataFrame:
+    """key, out: the texts of a table (key, n, text) as a list below a title, by n."""
+    parts = F.array_sort(F.collect_list(F.struct("n", "text")))
+    return lines.where("text is not null").groupBy(key).agg(F.concat(F.lit(f"## {title}\n- "), F.array_join(F.transform(parts, lambda x: x["text"]), "\n- "), F.lit("\n\n")).alias(out))
+
+
+def build_prompts(queries: DataFrame, ranked: DataFrame, turns: DataFrame | None = None, settings: Settings | None = None, key: str = "conv_id", previous: DataFrame | None = None, follow_ups: DataFrame | None = None) -> DataFrame:
+    """key, prompt, prompt_hash, n_chars, n_tokens for each row (key, query) of ``queries``; ``ranked`` has the key and its candidates.
+
+    previous and follow_ups (key, n, text): what was suggested before, and questions to go on with.
+    """
     s = settings or Settings()
     blocks = queries.join(context_block(ranked, [key]), key, "left")
     if turns is not None:
         blocks = blocks.join(history(turns, key), key, "left")
-    past = F.when(F.col("history").isNotNull(), F.concat(F.lit("## So far\n"), F.col("history"), F.lit("\n\n"))) if turns is not None else F.lit(None).cast("string")
+    past = F.when(F.col("history").isNotNull(), F.concat(F.lit("## So far\n"), F.col("history"), F.lit("\n\n"))) if turns is not None else F.lit("")
+    past = F.coalesce(past, F.lit(""))
+    for lines, title, name in ((previous, "Suggested before", "__previous"), (follow_ups, "Could be asked next", "__next")):
+        if lines is not None:
+            blocks = blocks.join(listed(lines, title, key, name), key, "left")
+            past = F.concat(past, F.coalesce(name, F.lit("")))
     parts: list[Column] = []
     for c in plan(s):
         if c == "Context":
             parts.append(F.col("context"))
         elif c == "Conversation":
-            parts.append(F.concat(F.coalesce(past, F.lit("")), F.lit("Guest asks: "), F.col("query")))
+            parts.append(F.concat(past, F.lit("Guest asks: "), F.col("query")))
         elif text := COMPONENTS[c](s, ranked.columns):
             parts.append(F.lit(text))
     return blocks.select(key, F.concat_ws("\n\n", *parts).alias("prompt")).select(key, "prompt", F.sha2("prompt", 256).alias("prompt_hash"), F.char_length("prompt").alias("n_chars"), token_estimate(F.col("prompt")).alias("n_tokens"))

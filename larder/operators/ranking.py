@@ -375,3 +375,40 @@ def explained(ranked: DataFrame, key: str = "row_id", drivers: int = 2) -> DataF
     entries = F.transform(F.map_entries("contribution"), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key")))
     top = F.slice(F.sort_array(entries, asc=False), 1, drivers)
     return ranked.select(key, "rank", F.array_join(F.transform(top, lambda e: F.concat(e["key"], F.lit(" "), F.format_string("%+.4f", e["value"]))), ", ").alias("explanation"))
+
+
+def explanations(ranked: DataFrame, config: Config, conflict_table: DataFrame | None = None, key: str = "row_id") -> DataFrame:
+    """key, rank, text: the score, each factor or objective by its contribution with raw value and weight, the set's conflicts, the diversity penalty.
+
+    conflict_table: what ``conflicts`` tells of the same set; it has a row for each pair of objectives at most.
+    """
+    live = config.objectives or active_factors(ranked, config.factors, linear=config.strategy == "linear")
+    weights = dict(zip(_distinct([x.name for x in live]), (float(x.weight) for x in live), strict=True))
+    told = F.create_map(*(x for n, w in weights.items() for x in (F.lit(n), F.lit(w)))) if weights else F.create_map().cast("map<string,double>")
+    entries = F.array_sort(F.transform(F.map_entries("contribution"), lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("name"))))
+    line = lambda e: F.concat(F.format_string("%+.4f ", F.element_at("contribution", e["name"])), e["name"], F.format_string(" (value %.2f, scaled %.2f, weight %.2f)", F.element_at("raw", e["name"]), F.element_at("normalised", e["name"]), F.element_at(told, e["name"])))
+    parts = [F.format_string("score %.4f", "final_score"), F.array_join(F.transform(entries, line), "\n")]
+    out = ranked
+    if conflict_table is not None:
+        rows = conflict_table.agg(F.array_join(F.transform(F.array_sort(F.collect_list("label")), lambda x: F.concat(F.lit("conflict: "), x)), "\n").alias("__conflicts"))  # one row
+        out = out.join(F.broadcast(rows))
+        parts.append(F.when(F.col("__conflicts") != "", F.col("__conflicts")))
+    if "penalty" in ranked.columns:
+        parts.append(F.when(F.col("penalty") > 0, F.format_string("diversity -%.4f", "penalty")))
+    return out.select(key, "rank", F.concat_ws("\n", *parts).alias("text"))
+
+
+def report(ranked: DataFrame, config: Config, conflict_table: DataFrame | None = None, key: str = "row_id", shown: int = 10) -> str:
+    """A ranking as text: strategy, averages, conflicts and the first rows with their two largest drivers. A few rows come to the driver."""
+    facts = statistics(ranked).first()
+    how = f"objectives by {config.optimizer}" if config.objectives else f"factors by {config.strategy}"
+    lines = [f"ranking of {facts['n']} rows, {how}", f"score: best {facts['top_score'] or 0:.4f}, mean {facts['avg_score'] or 0:.4f}"]
+    for x in config.objectives or config.factors:
+        if x.enabled:
+            lines.append(f"  {x.name}: weight {x.weight:.2f}" + (f", {x.direction}" if config.objectives else ""))
+    lines += [f"  mean {r['factor']}: {r['avg_raw']:.2f}" for r in factor_averages(ranked).orderBy("factor").collect()]
+    if conflict_table is not None:
+        lines += [f"conflict: {r['label']}" for r in conflict_table.orderBy("label").collect()]
+    first = explained(ranked.where(F.col("rank") <= shown), key).join(ranked.where(F.col("rank") <= shown).select(key, "final_score"), key)
+    lines += [f"{r['rank']}. {r[key]}: {r['final_score']:.4f} ({r['explanation']})" for r in first.orderBy("rank").collect()]
+    return "\n".join(lines)

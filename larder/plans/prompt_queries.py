@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import budget, generation
+from ..operators import budget, generation, prompts
 from ..operators.prompts import Settings
 from ..sources.tables import shared_folder
 from .queries import LAST, SQL_REPEATS, SQL_WORDS, Query, table
@@ -69,3 +69,29 @@ _add(
     f"SELECT count(*) AS prompts, count(*) FILTER (WHERE cached) AS hits, count(*) FILTER (WHERE NOT cached) AS misses, count(*) FILTER (WHERE warnings <> '') AS flagged, coalesce(sum(ceil(length(prompt) / 4)), 0)::BIGINT AS prompt_tokens, coalesce(sum(ceil(length(text) / 4)), 0)::BIGINT AS response_tokens FROM {_warned}",
 )
 _add("generate_warnings", lambda s, d: generation.warning_counts(_answers(s, d)), f"SELECT warning, count(*) AS n FROM (SELECT unnest(string_split(warnings, '|')) AS warning FROM {_warned}) WHERE warning <> '' GROUP BY warning")
+
+
+# ---- whole prompts: the second to last turn was suggested before, the last is a question to go on with
+DEBUG = Settings(template="Debug")
+
+
+def _whole(s: SparkSession, d: str) -> DataFrame:
+    asked, ranked, turns = _ladder_inputs(s, d)
+    ranked = ranked.where("rank <= 2").select("conv_id", "rank", "recipe_name", "ingredients")
+    lines = lambda at: turns.where(f"turn = {at}").select("conv_id", F.col("turn").alias("n"), F.substring("text", 1, 15).alias("text"))
+    return prompts.build_prompts(asked, ranked, turns.where("turn < 2"), DEBUG, previous=lines(2).unionByName(lines(3)), follow_ups=lines(4))
+
+
+_system = "\n".join(prompts.system_parts(DEBUG.assistant)).replace("'", "''")
+_list = lambda title, where: f"(SELECT conv_id, '## {title}' || chr(10) || '- ' || string_agg(substr(text, 1, 15), chr(10) || '- ' ORDER BY turn) || chr(10) || chr(10) AS block FROM c WHERE {where} GROUP BY conv_id)"
+_add(
+    "prompt_whole",
+    lambda s, d: _whole(s, d).select("conv_id", "prompt", F.col("n_tokens").alias("n_tokens")),
+    f"""WITH c AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    q AS (SELECT conv_id, arg_min(text, turn) AS query FROM c GROUP BY conv_id),
+    k AS (SELECT conv_id, '## Candidates' || chr(10) || string_agg('- ' || substr(text, 1, 20) || chr(10) || '  ingredients: ' || substr(text, 21, 40), chr(10) ORDER BY turn) AS block FROM c WHERE turn < 2 GROUP BY conv_id),
+    h AS (SELECT conv_id, '## So far' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || chr(10) AS block FROM c WHERE turn < 2 GROUP BY conv_id),
+    w AS (SELECT conv_id, concat_ws(chr(10) || chr(10), '{_system}', k.block, coalesce(h.block, '') || coalesce(p.block, '') || coalesce(n.block, '') || 'Guest asks: ' || query) AS prompt
+        FROM q LEFT JOIN k USING (conv_id) LEFT JOIN h USING (conv_id) LEFT JOIN {_list("Suggested before", "turn IN (2, 3)")} p USING (conv_id) LEFT JOIN {_list("Could be asked next", "turn = 4")} n USING (conv_id))
+    SELECT conv_id, prompt, ceil(length(prompt) / 4)::BIGINT AS n_tokens FROM w""",
+)

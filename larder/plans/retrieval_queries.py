@@ -134,3 +134,25 @@ _add(
     lambda s, d: fronts.promethee(_sold(s, d).fillna(0, ["order_count"]), (Objective("order_count"),)).select("row_id", F.round("final_score", 6).alias("final_score")),
     "SELECT p_partkey AS row_id, round((rank() OVER (ORDER BY q) - rank() OVER (ORDER BY q DESC)) / (count(*) OVER () - 1)::DOUBLE, 6) AS final_score FROM (SELECT p_partkey, coalesce(sum(l_quantity), 0) AS q FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)",
 )
+
+
+def _explained(s: SparkSession, d: str) -> DataFrame:
+    config = ranking.Config(objectives=CHOICE, max_results=25)
+    items = _items(s, d)
+    return ranking.explanations(ranking.rank(items, config), config, ranking.conflicts(items, CHOICE, limit=-1.0)).select("row_id", F.col("rank").cast("long").alias("rank"), "text")
+
+
+_SCALED = "(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())"
+_parts = [("rating", "rating", 0.5, False), ("price", "price", 0.3, True), ("protein_g_per_serving", "protein", 0.2, False)]
+_scaled = lambda c, low: ("1 - " if low else "") + "(" + _SCALED.replace("x", "{c}").replace("ma{c}", "max").format(c=c) + ")"
+_pairs = [(a, b) for i, a in enumerate(_parts) for b in _parts[i + 1 :]]
+_conflict = lambda a, b: f"SELECT '{a[0]} vs {b[0]} (Correlation: ' || format('{{:+.2f}}', corr({a[1]}, {b[1]})) || ')' AS label, corr({a[1]}, {b[1]}) AS c, {'true' if a[3] == b[3] else 'false'} AS same FROM {ITEMS}"
+_add(
+    "rank_explanations",
+    _explained,
+    f"""WITH n AS (SELECT row_id, rating, price, protein, {", ".join(f"{_scaled(c, low)} AS n{k}" for k, (_, c, _, low) in enumerate(_parts))} FROM {ITEMS}),
+    s AS (SELECT *, {" + ".join(f"{w} * n{k}" for k, (_, _, w, _) in enumerate(_parts))} AS score FROM n), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, row_id) AS rank FROM s ORDER BY score DESC, row_id LIMIT 25),
+    e AS (SELECT row_id, rank, score, unnest({[p[0] for p in _parts]}) AS name, unnest([{", ".join(f"{w} * n{k}" for k, (_, _, w, _) in enumerate(_parts))}]) AS part, unnest([{", ".join(f"{c}::DOUBLE" for _, c, _, _ in _parts)}]) AS raw, unnest([n0, n1, n2]) AS scaled, unnest({[p[2] for p in _parts]}::DOUBLE[]) AS weight FROM r),
+    l AS (SELECT string_agg('conflict: ' || label, chr(10) ORDER BY label) AS conflicts FROM ({" UNION ALL ".join(_conflict(a, b) for a, b in _pairs)}) WHERE CASE WHEN same THEN c < 1.0 ELSE c > -1.0 END)
+    SELECT row_id, rank, concat_ws(chr(10), format('score {{:.4f}}', score), string_agg(format('{{:+.4f}} {{}} (value {{:.2f}}, scaled {{:.2f}}, weight {{:.2f}})', part, name, raw, scaled, weight), chr(10) ORDER BY part DESC, name), conflicts) AS text FROM e, l GROUP BY row_id, rank, score, conflicts""",
+)
