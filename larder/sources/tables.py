@@ -77,7 +77,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[1]
     at = Path(tempfile.mkdtemp(prefix="larder-ship-")) / f"{root.name}.zip"
     with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
+        for p in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".txt")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(at))
     _SHIPPED.append(app)
