@@ -3,25 +3,31 @@
 Method: a text is brought to a canonical form (lower case, no copyright lines, no punctuation, one blank between words,
 equivalent spellings made one), the form's digest is looked up among the digests of known licences by a hash join.  What is looked up
 are entire texts: the document as a whole, each of its lines as a text by itself, and runs of lines that are whole blank-line-separated
-blocks (line_no is then the first line; a titled text and the text under its title are both hits).
+blocks and have as many words as a known text, however it is wrapped (line_no is then the first line; a titled text and the text under its title are both hits).
 
 A known text opens with one of a few words, so the full form is made only of units whose first two canonical words are
 those of a known text.
 
 The known texts are a parameter (name to texts); the default has MIT, ISC, BSD, zlib, Boost, Unlicense, Apache, CC0, the GPL, LGPL, MPL, GFDL and Artistic licences in full, and notices of others.
-Their table has a fixed size and is broadcast; it is made where the driver runs.  A text of more than MOST_BLOCKS blocks is found as a whole document or line only.  Each row of the result is one hit, so nothing is grouped and no source or licence can be hot.
+Their table has a fixed size and is broadcast; it is made where the driver runs.  Each row of the result is one hit, so nothing is grouped and no source or licence can be hot.
 
 Defined cases: null and empty texts, and texts with no word left, match nothing; a text of any length is looked up whole; a form of two known
-licences (a tie) is reported under the first name; repeated rows give repeated hits; an empty table gives an empty table; further columns are ignored, whatever their names.
+licences (a tie) is reported under the first name; a line that begins with the word copyright counts as a copyright line, also where a sentence was wrapped there; repeated rows give repeated hits; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
+import re
+from collections.abc import Iterator
+from importlib.resources import files
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Spellings that count as equal, as words of the canonical form.
 EQUIVALENT = {
     "acknowledgement": "acknowledgment",
@@ -154,14 +160,16 @@ FILES = {
     "MPL-2.0": "MPL-2.0",
 }
 for _file, _name in FILES.items():
-    KNOWN.setdefault(_name, []).append((Path(__file__).parent / "license_texts" / f"{_file}.txt").read_text(encoding="utf-8"))
+    KNOWN.setdefault(_name, []).append(files(__package__).joinpath("license_texts", f"{_file}.txt").read_text(encoding="utf-8"))
 
-#: Blank-line-separated blocks of which a licence text inside a document has at most.
-MOST_BLOCKS = 16
 _CLASS = "".join("\\" + c if c in "\\]^-[&" else c for c in PUNCTUATION + "\n")
 _COPYRIGHT_LINE = "^[ \\t]*(copyright|\\(c\\)|©)[ \\t\\r].*"
 
 
+#: Words of the canonical form that a word becomes, where they are more than one.
+_MORE_WORDS = {british: len(american.split()) for british, american in EQUIVALENT.items() if " " in american}
+
+
 def _body(text: Column) -> Column:
     """Lower case, without copyright lines."""
     lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~F.rlike(x, F.lit(_COPYRIGHT_LINE)))
@@ -198,31 +206,60 @@ def scan(df: DataFrame, known: dict[str, list[str]] | None = None, key: str = "d
     texts = texts.select("license", canonical(F.col("text")).alias("text")).where("text != ''")
     table = F.broadcast(texts.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license")))
     openings = [r[0] for r in texts.select(opening(F.col("text"))).distinct().collect()]
+    lengths = sorted(r[0] for r in texts.select(F.size(F.split("text", " "))).distinct().collect())
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     lines = rows.where(F.contains("text", F.lit("\n"))).select("key", F.posexplode(F.split("text", "\n")).alias("line_no", "unit"))
     units = rows.select("key", F.lit(None).cast("int").alias("line_no"), F.col("text").alias("unit")).unionByName(lines)
     likely = units.where(opening(_body(F.col("unit"))).isin(openings))
     own = likely.withColumn("digest", digest(canonical(F.col("unit")))).join(table, "digest").select("key", "line_no", "license")
-    ran = _runs(rows, openings).withColumn("digest", digest(canonical(F.col("unit")))).join(table, "digest").where(digest(canonical(F.col("text"))) != F.col("digest"))
+    ran = _runs(rows, openings, lengths).withColumn("digest", digest(canonical(F.col("unit")))).join(table, "digest").where(F.col("whole") != F.col("digest"))
     return own.unionByName(ran.select("key", "line_no", "license")).select(F.col("key").alias(key), "line_no", "license")
 
 
-def _runs(rows: DataFrame, openings: list[str]) -> DataFrame:
-    """key, text, line_no, unit: runs of two lines and more that start a block (or follow a copyright line) with known words, and end with one of the next MOST_BLOCKS blocks."""
+def words_in_line(line: str) -> int:
+    """How many words a line brings to the canonical form."""
+    low = line.lower()
+    if re.match(_COPYRIGHT_LINE, low):
+        return 0
+    return sum(_MORE_WORDS.get(w, 1) for w in re.findall(f"[^{_CLASS}]+", low))
+
+
+def _runs(rows: DataFrame, openings: list[str], lengths: list[int]) -> DataFrame:
+    """key, whole, line_no, unit: runs of two lines and more that start a block (or follow a copyright line) with known words, end where a block ends, and have as many words as a known text.
+
+    whole: digest of the text that the run is in.  Only texts with such a start are looked into.
+    """
     blank = lambda x: F.trim(F.translate(x, "\r\t", "  ")) == ""
     line = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
     split = rows.where(F.contains("text", F.lit("\n"))).withColumn("parts", F.split("text", "\n"))
-    count = F.size("parts")
 
     def starts(x: Column, i: Column) -> Column:
         before = F.when(i == 0, F.lit("")).otherwise(line(i - 1))
         return ~blank(x) & ~F.rlike(F.lower(x), F.lit(_COPYRIGHT_LINE)) & (blank(before) | F.rlike(F.lower(before), F.lit(_COPYRIGHT_LINE))) & opening(_body(F.concat(x, F.lit("\n"), line(i + 1)))).isin(openings)
 
     numbered = F.transform("parts", lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("x")))
-    at = split.withColumn("at", F.explode(F.transform(F.filter(numbered, lambda s: starts(s["x"], s["i"])), lambda s: s["i"])))
-    ends = F.filter(F.sequence(F.col("at"), count - 1), lambda j: ~blank(line(j)) & blank(line(j + 1)))
-    to = at.withColumn("to", F.explode(F.slice(ends, 1, MOST_BLOCKS))).where(F.col("to") > F.col("at"))
-    return to.select("key", "text", F.col("at").alias("line_no"), F.array_join(F.slice("parts", F.col("at") + 1, F.col("to") - F.col("at") + 1), "\n").alias("unit"))
+    at = split.withColumn("at", F.transform(F.filter(numbered, lambda s: starts(s["x"], s["i"])), lambda s: s["i"])).where(F.size("at") > 0)
+    found = at.select("key", digest(canonical(F.col("text"))).alias("whole"), "text", "at")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            keys, out = [], []
+            for k, (whole, text, begins) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                parts = text.split("\n")
+                total = np.concatenate([[0], np.cumsum([words_in_line(x) for x in parts])])
+                empty = np.array([not x.strip(" \r\t") for x in [*parts, ""]])
+                for i in begins:
+                    for n in lengths:
+                        low, high = np.searchsorted(total, total[i] + n, "left"), np.searchsorted(total, total[i] + n, "right")
+                        # further lines without words don't change the form: the first end of a block counts
+                        for j in range(max(int(low), i + 2), int(high)):
+                            if not empty[j - 1] and empty[j]:
+                                keys.append(k)
+                                out.append((whole, i, "\n".join(parts[i:j])))
+                                break
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int32(), pa.large_string())))], names=["key", "whole", "line_no", "unit"])
+
+    return found.mapInArrow(cut, f"key {rows.schema['key'].dataType.simpleString()}, whole string, line_no int, unit string")
 
 
 def sql() -> str:
