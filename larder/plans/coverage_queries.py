@@ -245,3 +245,14 @@ _add(
     g AS (SELECT *, sum((reset OR fresh OR coalesce(t - before > 3600000, false))::INT) OVER (PARTITION BY conv_id ORDER BY t, role, text) AS session FROM n)
     SELECT conv_id, min(t) AS begun, count(*) AS turns, count(*) - 1 AS last FROM g WHERE NOT reset GROUP BY conv_id, session""",
 )
+
+# ---- SQL for queries of the first module that had none
+SQL["embed_hash_bag"] = SQL["embed_hash_dimensions"]
+SQL["capability_item_types"] = "SELECT item_type, count(*) AS n FROM (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_name), '{w}')" for w in words) + f" THEN '{name}'" for name, words in features.ITEM_TYPES) + " ELSE 'main_course' END AS item_type FROM part) GROUP BY item_type"
+_scale = lambda x: f"(({x}) - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ())"
+_each = [("RatingScore", f"0.5 * {_scale('rating')}"), ("PriceScore", f"0.3 * (1 - {_scale('price')})"), ("NutritionScore", f"0.2 * {_scale('1 / (1 + abs(cal - 20))')}")]
+SQL["rank_explain"] = f"""WITH p AS (SELECT row_id, {WEIGHTED} AS s, {", ".join(f"{e} AS v{k}" for k, (_, e) in enumerate(_each))} FROM {ITEMS}),
+    r AS (SELECT *, row_number() OVER (ORDER BY s DESC, row_id) AS rank FROM p ORDER BY s DESC, row_id LIMIT 25),
+    e AS (SELECT row_id, rank, unnest({[n for n, _ in _each]}) AS name, unnest([v0, v1, v2]) AS v FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, name DESC) AS place FROM e)
+    SELECT row_id, rank, string_agg(name || ' ' || format('{{:+.4f}}', v), ', ' ORDER BY place) AS explanation FROM n WHERE place <= 2 GROUP BY row_id, rank"""
