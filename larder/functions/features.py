@@ -185,6 +185,43 @@ ENGINEERS: list[tuple[str, tuple[str, ...], Engineer]] = [
 ]
 
 
+#: What each feature tells, beside its name.
+DESCRIPTIONS = {
+    "item_type": "kind of dish or drink, by the words of its name",
+    "protein_density": "grams of protein for each kilocalorie",
+    "carb_density": "grams of carbohydrates for each kilocalorie",
+    "fat_density": "grams of fat for each kilocalorie",
+    "fiber_density": "grams of fibre for each kilocalorie",
+    "protein_calorie_ratio": "grams of protein for 100 kilocalories",
+    "is_high_protein": "protein gives much of the energy, or there is much of it",
+    "is_low_carb": "carbohydrates give little of the energy",
+    "is_low_fat": "fat gives little of the energy",
+    "nutrition_score": "weighted sum of fibre, protein, sodium, sugar and saturated fat",
+    "is_low_sodium": "little sodium in a serving",
+    "is_high_fiber": "much fibre in a serving",
+    "is_vegan": "labelled so, or without ingredients from animals",
+    "is_vegetarian": "labelled so, vegan, or without meat and fish",
+    "is_gluten_free": "labelled so, or without ingredients with gluten",
+    "is_dairy_free": "labelled so, or without ingredients of milk",
+    "is_keto": "labelled so, or with few carbohydrates",
+    "is_halal": "labelled so, or without ingredients that rule it out",
+    "is_low_calorie": "few kilocalories in a serving",
+    "is_breakfast": "for the morning",
+    "is_lunch": "for midday",
+    "is_dinner": "for the evening",
+    "is_snack": "for between meals, or a side dish",
+    "is_dessert": "sweet, after a meal",
+    "budget_category": "price bin by name",
+    "price_level": "price bin by signs",
+    "price_bucket": "price bin by its limits",
+    "ingredient_count": "ingredients in the list",
+    "health_label_count": "health labels in the list",
+    "diet_label_count": "diet labels in the list",
+    "recipe_name_length": "characters of the name",
+    "description_length": "characters of the description",
+}
+
+
 @dataclass
 class Run:
     """What each engineer did."""
@@ -198,13 +235,14 @@ class Run:
         return {"features": sum(map(len, self.created.values())), "skipped": len(self.skipped), "failed": len(self.failed), "mean_seconds": sum(self.seconds.values()) / max(1, len(self.seconds))}
 
     def registry(self, search: str = "") -> list[dict[str, str]]:
-        """The features as records, those whose name or engineer holds the text."""
-        return [{"feature": f, "engineer": e} for e, fs in self.created.items() for f in fs if search.lower() in f.lower() or search.lower() in e.lower()]
+        """The features as records, those whose name, engineer or description holds the text."""
+        every = [{"feature": f, "engineer": e, "description": DESCRIPTIONS.get(f, "")} for e, fs in self.created.items() for f in fs]
+        return [r for r in every if any(search.lower() in x.lower() for x in r.values())]
 
     def export(self, path: str) -> None:
         rows = self.registry()
         with open(path, "w") as f:
-            f.write(json.dumps(rows, indent=2) if path.endswith(".json") else "\n".join(["| feature | engineer |", "|-|-|", *(f"| {r['feature']} | {r['engineer']} |" for r in rows)]))
+            f.write(json.dumps(rows, indent=2) if path.endswith(".json") else "\n".join(["| feature | engineer | description |", "|-|-|-|", *(f"| {r['feature']} | {r['engineer']} | {r['description']} |" for r in rows)]))
 
 
 def engineer(df: DataFrame, settings: Settings | None = None, engineers: list[tuple[str, tuple[str, ...], Engineer]] | None = None) -> tuple[DataFrame, Run]:

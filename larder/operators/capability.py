@@ -71,6 +71,13 @@ class Registry:
     def by_category(self, category: str) -> list[Capability]:
         return [c for c in self._held.values() if c.category == category]
 
+    def by_status(self, df: DataFrame) -> dict[str, list[str]]:
+        """The names of this registry's capabilities that ``df`` has, has in part and lacks."""
+        out: dict[str, list[str]] = {"ENABLED": [], "PARTIAL": [], "DISABLED": []}
+        for r in detect(df, self).select("name", "status").collect():  # a row for each capability
+            out[r["status"]].append(r["name"])
+        return out
+
     def __iter__(self):
         return iter(self._held.values())
 
@@ -105,11 +112,22 @@ def score(detected: DataFrame) -> DataFrame:
     return detected.agg(enabled.alias("enabled"), F.count_if(F.col("status") == "PARTIAL").alias("partial"), F.count_if(F.col("status") == "DISABLED").alias("disabled"), F.round(100.0 * enabled / F.count("*"), 2).alias("score"))
 
 
+def item_types(df: DataFrame) -> DataFrame:
+    """item_type, n of every type there is: as a table, there may be many."""
+    return df.where("item_type is not null").groupBy("item_type").agg(F.count("*").alias("n"))
+
+
+#: Item types that a report names; it tells how many there are, and ``item_types`` has them all.
+SHOWN_TYPES = 1000
+
+
 def report(df: DataFrame, registry: Registry | None = None) -> dict:
     """What the table supports, with its item types and the columns it lacks."""
     detected = detect(df, registry)
-    types = [r[0] for r in df.select("item_type").where("item_type is not null").distinct().orderBy("item_type").limit(1000).collect()] if "item_type" in df.columns else []
+    every = item_types(df) if "item_type" in df.columns else None
+    types = [r[0] for r in every.orderBy("item_type").limit(SHOWN_TYPES).collect()] if every is not None else []
     return {
+        "n_item_types": every.count() if every is not None else 0,
         "capabilities": [r.asDict() for r in detected.collect()],
         "score": score(detected).first()["score"],
         "item_types": types,
