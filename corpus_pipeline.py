@@ -64,7 +64,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", token_ids),
 ]
 
-#: Byte-pair merges and SimHash links can't be told in SQL; the stages are tested against brute force instead.
+#: Byte-pair merges and links of similar lines can't be told in SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
