@@ -111,6 +111,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing, phrases, topk, warc
+    from . import licenses, mixing, phrases, repair, topk, warc
 
-    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op12_phrase_collocations": phrases.SQL, "op13_exact_topk": topk.SQL}
+    return {"op2_licenses": licenses.sql(), "op7_mixing": mixing.SQL, "op8_warc": warc.SQL, "op11_conversation_repair": repair.SQL, "op12_phrase_collocations": phrases.SQL, "op13_exact_topk": topk.SQL}

@@ -402,3 +402,50 @@ def _repair(rows: DataFrame) -> DataFrame:
 def repaired_conversations(df: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation after damage."""
     return repair(damaged(df)).withColumnRenamed("conv", "conv_id")
+
+
+#: The same in DuckDB's SQL, by least (cost, audit) for each state, turn by turn; the CRC-32 is made bit by bit.
+SQL = r"""
+with recursive damaged as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 1, 2, 3, 4, 5, 6, 7]::bigint[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 as harm
+    from conversations
+), after as (
+    select conv_id, turn, case when harm = 4 then 'user' else role end as role,
+        case when harm = 1 then '' when harm = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from damaged, range(2) as twice(copy) where harm <> 0 and (copy = 0 or harm = 3)
+), told as (
+    select *, row_number() over w as pos, count(*) over (partition by conv_id) as n,
+        trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, lag(role[1]) over w || role[1] as pair
+    from after window w as (partition by conv_id order by turn nulls first, role, md5(text))
+), turns as (
+    select *, bare = '' as blank, bare <> '' and nth > 1 as duplicate, bare <> '' and nth = 1 and right(bare, 1) not in ('.', '!', '?') as truncated
+    from (select *, row_number() over (partition by conv_id, role, text order by pos) as nth from told)
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+        count(*) filter (where truncated) as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+    from turns group by conv_id
+), inserts(state, to_state, price, letters, lines) as (
+    values (0, 0, 0, '', []::varchar[]), (0, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 2, 'I', ['user:']), (1, 3, 4, 'II', ['user:', 'assistant:']),
+        (2, 2, 0, '', []), (2, 3, 2, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 2, 'I', ['user:'])
+), edits(letter, from_state, end_state, initial, speaker) as (
+    values ('D', 0, 0, null, null), ('D', 1, 1, null, null), ('D', 2, 2, null, null), ('D', 3, 3, null, null), ('K', 0, 1, 's', null), ('K', 0, 2, 'u', null), ('K', 1, 2, 'u', null), ('K', 2, 3, 'a', null), ('K', 3, 2, 'u', null),
+        ('R', 0, 2, null, 'user'), ('R', 1, 2, null, 'user'), ('R', 2, 3, null, 'assistant'), ('R', 3, 2, null, 'user')
+), best(conv_id, pos, state, way) as (
+    select conv_id, 0::bigint, 0, {'cost': 0, 'audit': '', 'lines': []::varchar[]} from counts
+    union all
+    select t.conv_id, t.pos, e.end_state, min({'cost': b.way.cost + i.price + case e.letter when 'D' then 3 when 'R' then 2 else 0 end + (e.letter <> 'D' and t.truncated)::int,
+        'audit': b.way.audit || i.letters || e.letter, 'lines': b.way.lines || i.lines || case when e.letter = 'D' then [] else [coalesce(e.speaker, t.role) || ':' || t.text] end})
+    from best as b join turns as t on t.conv_id is not distinct from b.conv_id and t.pos = b.pos + 1 join inserts as i on i.state = b.state join edits as e on e.from_state = i.to_state
+    where e.letter = 'D' or not (t.blank or t.duplicate) and (e.letter = 'R' or e.initial = t.role[1])
+    group by t.conv_id, t.pos, e.end_state
+), ends as (
+    select b.conv_id, min({'cost': b.way.cost + i.price, 'audit': b.way.audit || i.letters, 'lines': b.way.lines || i.lines}) as way
+    from best as b join counts as c on c.conv_id is not distinct from b.conv_id and c.n = b.pos join inserts as i on i.state = b.state
+    where (b.state, i.letters) in ((0, ''), (1, 'II'), (2, 'I'), (3, '')) group by b.conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    coalesce(way.cost, 0)::bigint as cost, coalesce(way.audit, '') as audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) as o left join counts as c on c.conv_id is not distinct from o.conv_id left join ends as e on e.conv_id is not distinct from o.conv_id
+"""
