@@ -40,19 +40,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, split: str | None = None, two: str = "true") -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, rounds: int = 0, two: str = "true") -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
     keys (a plan that is cheap to run again): long key, long id, int n (a size; may be left out), long rest (a bound or a code); sizes: condition on na, nb that any
     linked pair meets, and nearer sizes rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets; group_rests: the same for
     two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
-    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; split: an array of further keys, made of key and rest, into which buckets of more than FEW rows are
-    dealt (components that share a part of more than FEW rows are then compared by their least ids in it; without split by all their rows); verify: table of distinct pairs (a, b) to a
+    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; rounds: how many times the rows of buckets of more than FEW rows
+    and several components are first compared within random parts of about FEW rows, which joins most of what belongs together; verify: table of distinct pairs (a, b) to a
     written table of the linked ones.
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
     the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
-    has rows; in the second with the least ids of its other buckets; in the third with all that share a bucket.  Returns id, label.
+    has rows; in the second with the least ids of its other buckets; in the third with all that share a bucket and are in another component, whatever the bucket's size.
+    Returns id, label.
 
     Hot keys, found in a sample of the keys, have their rows joined where they lie: a bucket of any size is never in one task.
     """
@@ -86,22 +87,23 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     rest = multi.where("id != lead and of > 2").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label"))
     own = ["key", "id", "n", "rest", "label"]
     rest = written(rest, "rest")
-    large = rest.where(f"of > {FEW}").select(*own)
-    if split:
+    for k in range(rounds):
+        large = rest.where(f"of > {FEW}")
         # buckets of one component have nothing to compare
         mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        parts = written(large.join(small(written(mixed, "mixed")), "key", "left_semi").withColumn("key", F.explode(F.expr(split))), "parts")
-        spread = parts.groupBy("key").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key", "of")
-        rest = written(rest.where(f"of <= {FEW}").unionByName(parts.join(spread, "key").select(*rest.columns)), "rest")
-        # parts that stay large: their components are compared by their least ids there
-        least = rest.where(f"of > {FEW}").groupBy("key", "label").agg(F.min(F.struct("id", "n", "rest")).alias("x")).select("key", "x.*", "label")
-        large = None
-    few = rest.where(f"of <= {FEW}").select(*own)
-    few = (few.unionByName(written(least, "least")) if split else few).repartition("key")  # one exchange for both sides
+        part = F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("of") / FEW))
+        parts = large.join(small(written(mixed, "mixed")), "key", "left_semi").select(part.alias("part"), *own).repartition("key", "part")  # one exchange for both sides
+        x, y = parts.toDF("part", "key", "x", "na", "ra", "label"), parts.toDF("part", "key", "y", "nb", "rb", "other")
+        more = verify(x.join(y, ["key", "part"]).where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = written(components(links), "labels")
+        rest = written(rest.drop("label").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label")), "rest")
+    few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
     last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    last = (last if split else last.unionByName(_large_buckets(large, sizes, rests, group_rests))).distinct()
-    more = verify(last)
+    more = verify(last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests, group_rests)).distinct())
     return found if more.isEmpty() else components(links.unionByName(more))
 
 

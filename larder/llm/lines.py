@@ -2,7 +2,7 @@
 
 Method: lines are normalised (lower case, digits alike, punctuation and blanks reduced to single blanks).  The candidates are the
 pairs that share a block key; a key joins three MinHashes of a line's runs of q bytes (q smaller for short lines), and a code of three bits of 20 of the MinHashes
-rules most unlike pairs out before they leave the join.  The method named for this operator, blocks of one 64-bit SimHash, can't give right
+and of the length rules most unlike pairs out before they leave the join.  Every other pair of a bucket, however large, is in one component by other links or verified.  The method named for this operator, blocks of one 64-bit SimHash, can't give right
 results at this similarity: lines of 80 % lie about 13 bits apart, and blocks for so many bits have four bits each; within 3 bits it found a fifth of the similar pairs.
 Candidates are verified by edit similarity, and of each connected group of lines over all documents the first occurrence (least document id, then
 line number) stays; the others go.
@@ -150,12 +150,16 @@ def similar_pairs(one: list[str], two: list[str], percent: int) -> np.ndarray:
             if w > WORDS or w * len(own) * len(letters) > TABLE:
                 out[own] = [similar(one[i], two[i], percent) for i in own]
             else:
-                out[own] = _distances(points, size[own], np.fromiter(map(len, b), np.int64, len(b)), len(letters), w) <= allowed[own]
+                out[own] = _distances(points, size[own], np.fromiter(map(len, b), np.int64, len(b)), len(letters), w, allowed[own]) <= allowed[own]
     return out
 
 
-def _distances(points: np.ndarray, m: np.ndarray, n: np.ndarray, letters: int, words: int) -> np.ndarray:
-    """Edit distances of pairs by bit-parallel columns; points: the letters of all patterns (lengths m), then of all texts (lengths n, falling)."""
+def _distances(points: np.ndarray, m: np.ndarray, n: np.ndarray, letters: int, words: int, allowed: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs by bit-parallel columns, exact where they are within ``allowed`` (n - m at least), else larger than it.
+
+    points: the letters of all patterns (lengths m), then of all texts (lengths n, falling).  Only the words of 64 rows that a path of
+    allowed cost can cross are computed, and pairs that have no such path any more are left out on the way.
+    """
     pairs, one = len(m), np.uint64(1)
     # letters by place and pair, as places in the table of the patterns' letters
     of_a, of_b = np.zeros((m.max(), pairs), np.int64), np.zeros((n.max(), pairs), np.int64)
@@ -167,11 +171,28 @@ def _distances(points: np.ndarray, m: np.ndarray, n: np.ndarray, letters: int, w
         has = np.flatnonzero(m > k)
         table[k // 64, of_a[k, has]] |= one << np.uint64(k % 64)
     up, down = np.full((words, pairs), 2**64 - 1, np.uint64), np.zeros((words, pairs), np.uint64)
-    last, top, distance = ((m - 1) % 64).astype(np.uint64), np.uint64(63), m.copy()
-    active = pairs - np.searchsorted(n[::-1], np.arange(len(of_b)), side="right")
-    for k, c in enumerate(active.tolist()):
-        more, less = one, np.uint64(0)  # the row above the matrix grows by one
-        for w in range(words):
+    last, top = ((m - 1) % 64).astype(np.uint64), np.uint64(63)
+    # a path leaves the first diagonal and comes to the last one, n - m further right: it is so far above and below the first at most
+    right, left = int((allowed + n - m).max()) // 2, int((allowed - n + m).max()) // 2
+    bottom = min(words - 1, left // 64)
+    distance = m.copy() if bottom == words - 1 else np.full(pairs, 64 * (bottom + 1), np.int64)  # in the last row of the word at the bottom
+    out, own, c = allowed + 1, np.arange(pairs), pairs
+    for k in range(len(of_b)):
+        while c and n[c - 1] <= k:
+            c -= 1
+        if k % 64 == 63 and (alive := _least(up[:, :c], down[:, :c], distance[:c], last[:c], max(0, k - 1 - right) // 64, bottom) <= allowed[:c]).sum() < 0.8 * c:
+            out[own[c:]] = distance[c:]
+            keep = np.flatnonzero(alive)
+            up, down, of_b, c = up[:, keep], down[:, keep], of_b[:, keep], len(keep)
+            m, n, last, allowed, distance, own = m[keep], n[keep], last[keep], allowed[keep], distance[keep], own[keep]
+        if not c:
+            break
+        low, high = max(0, k - right) // 64, min(words - 1, (k + left) // 64)
+        if high > bottom:
+            distance[:c] += m[:c] - 64 * high if high == words - 1 else 64
+            bottom = high
+        more, less = one, np.uint64(0)  # the row above those computed grows by one
+        for w in range(low, high + 1):
             at, p, q = table[w].take(of_b[k, :c]), up[w, :c], down[w, :c]
             steep = at | q
             at |= less
@@ -183,7 +204,20 @@ def _distances(points: np.ndarray, m: np.ndarray, n: np.ndarray, letters: int, w
             up[w, :c], down[w, :c] = minus | ~(steep | plus), plus & steep
             more, less = above, below
         distance[:c] += more.astype(np.int64) - less.astype(np.int64)
-    return distance
+    out[own] = distance
+    return out
+
+
+def _least(up: np.ndarray, down: np.ndarray, distance: np.ndarray, last: np.ndarray, low: int, high: int) -> np.ndarray:
+    """A lower bound of the values of one column in the words low to high; distance: its value in the last row of the latter."""
+    least, under = distance.copy(), distance
+    for w in range(high, low - 1, -1):
+        rows = np.uint64(2**64 - 1) >> (np.uint64(63) - last) if w == len(up) - 1 else np.uint64(2**64 - 1)
+        over = under - np.bitwise_count(up[w] & rows).astype(np.int64) + np.bitwise_count(down[w] & rows).astype(np.int64)
+        # neighbours differ by one at most
+        least = np.minimum(least, (over + under - np.bitwise_count(rows).astype(np.int64)) // 2)
+        under = over
+    return least
 
 
 def minhashes(forms: list[bytes], q: int) -> np.ndarray:
@@ -219,19 +253,24 @@ def block_keys(low: np.ndarray, q: int) -> np.ndarray:
     return keys
 
 
-def codes(low: np.ndarray) -> np.ndarray:
-    """Three bits of each MinHash in one number."""
-    out = np.zeros(low.shape[1], np.int64)
+def codes(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Three bits of each MinHash in one number, below four bits of the line's length in characters (sizes).
+
+    Lengths are classed in steps a little larger than PERCENT lets two lengths differ, so that similar lines are in one class or in neighbours.  The four
+    bits are a cyclic Gray code of the class: those of neighbours differ in one bit.
+    """
+    classes = (np.log(sizes) / np.log(101 / PERCENT)).astype(np.int64) % 16
+    out = (classes ^ classes >> 1) << 60
     for k in range(CODED):
         out |= (low[k] >> np.uint32(8) & np.uint32(7)).astype(np.int64) << 3 * k
     return out
 
 
 _LOWS = sum(1 << 3 * k for k in range(CODED))
-#: Of the XOR of two codes: whether they agree in AGREE places at least.
-ALIKE = f"bit_count((({{0}}) | shiftright({{0}}, 1) | shiftright({{0}}, 2)) & {_LOWS}L) <= {CODED - AGREE}"
-#: Every fourth place but for its key's own: further keys for the rows of a large bucket.
-SPLIT = "array(" + ", ".join(f"xxhash64(key, {i}, rest & {sum(7 << 3 * k for k in range(i, CODED, 5))}L)" for i in range(5)) + ")"
+#: Of the XOR of two codes: whether they agree in AGREE places at least, and the lengths allow similar lines.
+ALIKE = f"bit_count((({{0}}) | shiftright({{0}}, 1) | shiftright({{0}}, 2)) & {_LOWS}L) <= {CODED - AGREE} and bit_count(shiftrightunsigned({{0}}, 60)) <= 1"
+#: How often the rows of large buckets are compared in random parts before all that are still apart are.
+ROUNDS = 2
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +301,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [forms[i] for i in at]
             if q:
                 low = minhashes(own, q)
-                keys, code = block_keys(low, q).view(np.int64), codes(low)
+                keys, code = block_keys(low, q).view(np.int64), codes(low, n[at])
             else:
                 keys, code = np.empty((len(own), 0), np.int64), np.zeros(len(own), np.int64)
             new = rest[at]
@@ -310,7 +349,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
         with arrow_rows(docs.sparkSession, 4096):
             return written(near.join(x, "a").join(y, "b").where(alike("norm_a", "norm_b")).select("a", "b"), "alike")
 
-    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", SPLIT, ALIKE.format("both"))
+    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", ROUNDS, ALIKE.format("both"))
     grouped = lines.join(found, "id", "left").select("id", "more", "doc", "line", "places", F.coalesce("label", "id").alias("of"), F.when(F.col("label").isNull(), F.col("more")).alias("part"))
     groups = grouped.groupBy("of", "part").agg(first.alias("stays"), F.sum("places").alias("total")).where("total > 1")
     repeated = grouped.join(groups, (grouped["of"] == groups["of"]) & grouped["part"].eqNullSafe(groups["part"])).select(F.struct("id", "more").alias("node"), "stays", "places")

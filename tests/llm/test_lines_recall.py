@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from larder.llm import lines
+from larder.llm import graph, lines
 from larder.llm.common import ship
 
 
@@ -41,3 +41,48 @@ def test_every_line_takes_part(spark):
     rows = [(1, f"Page one\n\n---\n{chinese}\n目录\nkept a"), (2, f"page ONE.\n\n---\n{chinese}\n目录\n***\nkept b"), (3, " 　\n\t"), (4, " 　\n\t"), (5, None)]
     got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\n***\nkept b", 4), 3: (rows[2][1], 0), 4: (rows[3][1], 0), 5: (None, 0)}
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    whole, seen = graph.link_buckets, []
+    linked = [(1, 50), (2, 60), (50, 60)]  # 1 and 2, the least lines of two components of the bucket, are not similar; 50 and 60 are
+    rows = [(1, i, 0) for i in range(100)] + [(2, 1, 0), (2, 50, 0), (3, 2, 0), (3, 60, 0)]
+
+    def made(keys, sizes, verify, *rest):
+        alike = spark.createDataFrame(linked, "a long, b long")
+        found = whole(spark.createDataFrame(rows, "key long, id long, rest long"), sizes, lambda pairs: lines.written(pairs.join(alike, ["a", "b"]), "alike"), *rest)
+        seen.extend(found.where("label != id").collect())
+        return found
+
+    monkeypatch.setattr(lines.graph, "link_buckets", made)
+    for rounds in (lines.__dict__.get("ROUNDS"), 0):
+        monkeypatch.setattr(lines, "ROUNDS", rounds, raising=False)
+        seen.clear()
+        lines.dedup(spark.createDataFrame([(1, "a line of some words")], "doc_id long, text string"))
+        assert {(r["id"], r["label"]) for r in seen} == {(2, 1), (50, 1), (60, 1)}
+
+
+def test_lengths_in_codes_lose_no_pair():
+    sizes = lines.np.arange(1, 5000)
+    code = lines.codes(lines.np.zeros((lines.MINHASHES, len(sizes)), lines.np.uint32), sizes)
+    for i in range(0, len(sizes), 7):
+        fit = 100 * sizes[: i + 1] >= lines.PERCENT * sizes[i]
+        apart = lines.np.bitwise_count((code[: i + 1] ^ code[i]).view(lines.np.uint64) >> lines.np.uint64(60))
+        assert (apart[fit] <= 1).all()
+
+
+def test_edit_similarity_of_long_pairs_within_bands():
+    rng, one, two = random.Random(9), [], []
+    for _ in range(300):
+        a = [rng.choice("abcd") for _ in range(rng.randint(60, 700))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        if rng.random() < 0.3:
+            cut = rng.randint(0, len(b) // 5)
+            b = b[cut:] + ["c"] * rng.randint(0, cut)
+        one.append("".join(a))
+        two.append("".join(b))
+    for percent in (60, 80, 95):
+        assert lines.similar_pairs(one, two, percent).tolist() == [lines.similar(a, b, percent) for a, b in zip(one, two, strict=True)]
