@@ -2,7 +2,8 @@
 
 Method: a segment tree over the byte positions of a piece keeps, at its root, the leftmost of the lowest-ranked adjacent
 pairs.  A merge joins two live neighbours and makes three point updates (the merged pair, the pair before it and the
-vanished one), each logarithmic in the piece's length, so that a run of a million bytes without a split costs n log n.
+vanished one), each logarithmic in the piece's length, so that a run of a million bytes without a split costs n log n.  Nodes have
+FAN children, so that the tree of a common word is its root and leaves.
 
 Defined cases: a null text counts as empty; a text of any length is encoded whole; no result depends on the order of rows, so ties have no meaning; an empty text has no ids and decodes to no bytes; repeated rows are encoded
 each; an empty table gives an empty table; columns named like the output columns are replaced, all others are kept.
@@ -28,6 +29,9 @@ CACHE_BYTES = 80 << 20
 #: Longer pieces are merged each time they occur.
 CACHE_PIECE_CHARS = 48
 
+#: Children of a node of the segment tree.
+FAN = 32
+
 _NONE = 1 << 62
 
 
@@ -44,47 +48,38 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], longest: int) -> tuple[in
         return (whole,)
     n = len(piece)
     shift = n.bit_length()
-    width = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * width)
     get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[width + i] = rank << shift | i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+    leaves = [_NONE if (rank := get(piece[i : i + 2])) is None else rank << shift | i for i in range(n - 1)]
+    leaves.append(_NONE)  # no pair begins at the last byte
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        under = levels[-1]
+        levels.append([min(under[k : k + FAN]) for k in range(0, len(under), FAN)])
+    top, inner = levels[-1], len(levels) > 1
     after = list(range(1, n + 2))  # start of the next live symbol
     before = list(range(-1, n))
     mask = (1 << shift) - 1
-    while (least := tree[1]) != _NONE:
+    while (least := min(top)) != _NONE:
         i = least & mask
         gone, back = after[i], before[i]
         end = after[i] = after[gone]
-        values = [(gone, _NONE)]
+        leaves[gone] = leaves[i] = _NONE
         if end < n:
             before[end] = i
             to = after[end]
-            rank = get(piece[i:to]) if to - i <= longest else None
-            values.append((i, _NONE if rank is None else rank << shift | i))
-        else:
-            values.append((i, _NONE))
+            if to - i <= longest and (rank := get(piece[i:to])) is not None:
+                leaves[i] = rank << shift | i
         if back >= 0:
             rank = get(piece[back:end]) if end - back <= longest else None
-            values.append((back, _NONE if rank is None else rank << shift | back))
-        for k, value in values:  # point updates, each up to where nothing changes
-            k += width
-            if tree[k] != value:
-                tree[k] = value
-                k >>= 1
-                while k:
-                    low, other = tree[2 * k], tree[2 * k + 1]
-                    if other < low:
-                        low = other
-                    if tree[k] == low:
+            leaves[back] = _NONE if rank is None else rank << shift | back
+        if inner:
+            for k in (gone, i, back) if back >= 0 else (gone, i):  # point updates, each up to where nothing changes
+                for under, level in zip(levels, levels[1:]):
+                    k //= FAN
+                    low = min(under[k * FAN : k * FAN + FAN])
+                    if level[k] == low:
                         break
-                    tree[k] = low
-                    k >>= 1
+                    level[k] = low
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])

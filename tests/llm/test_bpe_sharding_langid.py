@@ -117,3 +117,12 @@ def test_false_positives_are_corrected():
     noise = np.array([((table[:, 0] >> i) & 1).mean() for i in range(2)]) ** langid.HASHES
     n, rates = langid.Filter(["a", "b"], table, noise, 0).rates("some words that no filter was ever taught " * 50)
     assert n > 1000 and rates.max() < 0.1
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_merges_do_not_depend_on_the_tree(fan, monkeypatch):
+    monkeypatch.setattr(bpe, "FAN", fan)
+    letters = np.random.default_rng(fan)
+    for n in [1, 2, 3, 31, 32, 33, 34, 65, 200, 1100, 3000]:
+        text = "".join(letters.choice(list("abehintés"), n))
+        assert ids(text) == WANT(text)
