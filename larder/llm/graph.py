@@ -40,15 +40,24 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, rounds: int = 0, two: str = "true") -> DataFrame:
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (id, label) after further ``links`` (a, b): only the components that they join are run through again."""
+    known = small(found)
+    told = links.join(known.toDF("a", "label_a"), "a", "left").join(known.toDF("b", "label_b"), "b", "left")
+    tops = written(components(told.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))), "tops")
+    every = found.unionByName(tops.select("id", F.col("id").alias("label"))).distinct()
+    return written(every.join(small(tops).toDF("label", "top"), "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, two: str = "true", within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
     keys (a plan that is cheap to run again): long key, long id, int n (a size; may be left out), long rest (a bound or a code); sizes: condition on na, nb that any
     linked pair meets, and nearer sizes rather; rests: condition on na, nb, ra, rb that some shared key of any linked pair meets; group_rests: the same for
     two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
-    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; rounds: how many times the rows of buckets of more than FEW rows
-    and several components are first compared within random parts of about FEW rows, which joins most of what belongs together; verify: table of distinct pairs (a, b) to a
-    written table of the linked ones.
+    two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; verify: table of distinct pairs (a, b) to a
+    written table of the linked ones; within: written table of all rows (key, id, n, rest, label) of the buckets of more than FEW rows and several labels to a
+    table of pairs (a, b) that has every linked pair of different labels that shares a key (by default a join of the labels, then of their rows).
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
     the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
@@ -75,36 +84,49 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
     stars = multi.where("id != lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")).join(leads, "key").where(fits)
     stars = written(stars.select("a", "b").distinct(), "stars")
-    links = verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    found = written(components(links), "labels")
+    found = written(components(verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))), "labels")
 
     more = verify(_apart(stars, found).select("a", "b"))
+    forget(stars)
     if not more.isEmpty():
-        links = links.unionByName(more)
-        found = written(components(links), "labels")
+        found = merged(found, more)
 
     # what is left: buckets of three and more, without their least ids, in more than one component
     rest = multi.where("id != lead and of > 2").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label"))
     own = ["key", "id", "n", "rest", "label"]
     rest = written(rest, "rest")
-    for k in range(rounds):
-        large = rest.where(f"of > {FEW}")
-        # buckets of one component have nothing to compare
-        mixed = large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        part = F.pmod(F.xxhash64("id", F.lit(k)), F.ceil(F.col("of") / FEW))
-        parts = large.join(small(written(mixed, "mixed")), "key", "left_semi").select(part.alias("part"), *own).repartition("key", "part")  # one exchange for both sides
-        x, y = parts.toDF("part", "key", "x", "na", "ra", "label"), parts.toDF("part", "key", "y", "nb", "rb", "other")
-        more = verify(x.join(y, ["key", "part"]).where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = written(components(links), "labels")
-        rest = written(rest.drop("label").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label")), "rest")
+    forget(multi)
     few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")
     last = x.join(y, "key").where("x < y and label != other").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = verify(last.unionByName(_large_buckets(rest.where(f"of > {FEW}").select(*own), sizes, rests, group_rests)).distinct())
-    return found if more.isEmpty() else components(links.unionByName(more))
+    large = rest.where(f"of > {FEW}").select(*own)
+    # buckets of one component have nothing to compare
+    mixed = written(large.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), "mixed-keys")
+    large = written(large.join(small(mixed), "key", "left_semi"), "mixed")
+    more = verify(last.unionByName(_large_buckets(large, sizes, rests, group_rests) if within is None else within(large)).distinct())
+    return found if more.isEmpty() else merged(found, more)
+
+
+def cells(rows: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """Any two of ``rows`` (long key, id, label, size and others) that have the same key and different labels share a cell.
+
+    The rows of a key are dealt into blocks of about ``most`` rows and ``most_bytes`` by their sizes, those of a label that needs several blocks apart from the others;
+    a cell has the rows of two blocks of a key (side 0 and 1), or of one (side 2).  No cell has twice the same label's own blocks.
+    Returns the rows with cell (a struct of numbers) and side.
+    """
+    parts = F.greatest(F.ceil(F.sum("of") / most), F.ceil(F.sum("held") / most_bytes), F.lit(1)).cast("int").alias("parts")
+    labels = rows.groupBy("key", "label").agg(F.count("*").alias("of"), F.sum("size").alias("held")).withColumn("own", F.when(F.expr(f"of > {most} or held > {most_bytes}"), F.col("label")))
+    labels = written(labels, "cell-labels")
+    blocks = written(labels.groupBy("key", "own").agg(parts), "cell-blocks")
+    labels = labels.join(small(blocks), (labels["key"] == blocks["key"]) & labels["own"].eqNullSafe(blocks["own"])).select(labels["key"], "label", labels["own"], "parts")
+    block = F.struct(F.col("own").isNotNull().alias("pure"), F.coalesce("own", F.lit(0)).alias("own"), F.col("part").cast("int").alias("part"))
+    each = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", block.alias("block"))
+    meet = each.toDF("key", "one").join(each.toDF("key", "two"), "key").where("one <= two and not (one.pure and two.pure and one.own = two.own)")
+    side = lambda k, name: F.struct(F.lit(k).alias("side"), F.col(name).alias("block"))
+    sides = meet.select("key", F.struct("one", "two").alias("cell"), F.explode(F.when(F.expr("one = two"), F.array(side(2, "one"))).otherwise(F.array(side(0, "one"), side(1, "two")))).alias("at"))
+    sides = written(sides.select("key", "cell", "at.side", "at.block"), "cell-sides")
+    dealt = rows.join(small(written(labels, "cell-parts")), ["key", "label"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("block", block)
+    return dealt.join(small(sides), ["key", "block"]).select(*rows.columns, "cell", "side")
 
 
 def _large_buckets(rest: DataFrame, sizes: str, rests: str, group_rests: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import HASHES_ONLY, arrow_rows, col, ends_of, lookup, released, scratch, slices, small, written
+from .common import HASHES_ONLY, arrow_rows, col, ends_of, forget, lookup, released, scratch, slices, small, written
 
 #: Lines of fewer bytes in normal form are compared for equality only.
 FUZZY_BYTES = 16
@@ -80,16 +80,17 @@ def stripped(a: str, b: str) -> tuple[str, str]:
 
 
 def distance_bound(a: str, b: str) -> int:
-    """An upper bound of the edit distance: both are cut at a run that they share near the middle, and what is left counts whole."""
+    """An upper bound of the edit distance: both are cut at a run that they share, near the middle rather, and what is left counts whole."""
     a, b = stripped(a, b)
     most = max(len(a), len(b))
-    if min(len(a), len(b)) < 24:
+    if min(len(a), len(b)) < 16:
         return most
-    for mid in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
-        run = a[mid - 6 : mid + 6]
-        at = b.find(run, max(0, mid - 6 - len(a) // 8), mid + 6 + len(a) // 8)
+    for eighth in (4, 3, 5, 2, 6, 1, 7):
+        mid = max(4, len(a) * eighth // 8)
+        run = a[mid - 4 : mid + 4]
+        at = b.find(run, max(0, mid - 4 - len(a) // 8), mid + 4 + len(a) // 8)
         if at >= 0:
-            return min(most, distance_bound(a[: mid - 6], b[:at]) + distance_bound(a[mid + 6 :], b[at + 12 :]))
+            return min(most, distance_bound(a[: mid - 4], b[:at]) + distance_bound(a[mid + 4 :], b[at + 8 :]))
     return most
 
 
@@ -122,35 +123,68 @@ def similar(a: str, b: str, percent: int) -> bool:
 
 
 #: Patterns of up to so many words of 64 characters are compared in numpy, PAIRS at a time; TABLE bounds the places of one table of them.
-WORDS, PAIRS, TABLE = 16, 1024, 1 << 20
+WORDS, PAIRS, TABLE = 32, 1024, 1 << 21
+#: Numbers of words that patterns are filled up to, so that many pairs advance together.
+FILLED = np.array([1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 28, 32])
+#: Classes in which letters are counted.
+LETTERS = 128
+
+
+def letters_apart(one: list[str], two: list[str]) -> np.ndarray:
+    """A lower bound of each pair's edit distance: the letters of one that the other lacks, counted in LETTERS classes."""
+    places: dict[str, int] = {}
+    at = np.fromiter((places.setdefault(t, len(places)) for pair in zip(one, two, strict=True) for t in pair), np.int64, 2 * len(one)).reshape(-1, 2)
+    counts = np.empty((len(places), LETTERS), np.int32)
+    for t, k in places.items():
+        counts[k] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS)
+    sizes, out = counts.sum(1), np.empty(len(one), np.int64)
+    for lo in range(0, len(one), PAIRS):
+        a, b = at[lo : lo + PAIRS].T
+        out[lo : lo + PAIRS] = np.maximum(sizes[a], sizes[b]) - np.minimum(counts[a], counts[b]).sum(1)
+    return out
 
 
 def similar_pairs(one: list[str], two: list[str], percent: int) -> np.ndarray:
     """:func:`similar` of every pair of two lists; the distance matrices of many pairs of about the same length advance together."""
     out = np.zeros(len(one), bool)
-    short, long, allowed, size = [""] * len(one), [""] * len(one), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-    for i, (a, b) in enumerate(zip(one, two, strict=True)):
-        most = max(len(a), len(b)) * (100 - percent) // 100
-        a, b = stripped(a, b)
+    sizes = np.array([list(map(len, one)), list(map(len, two))], np.int64).reshape(2, -1)
+    allowed = sizes.max(0, initial=0) * (100 - percent) // 100
+    left = np.flatnonzero(np.abs(sizes[0] - sizes[1]) <= allowed)
+    apart = letters_apart([one[i] for i in left], [two[i] for i in left])
+    left, apart = left[apart <= allowed[left]], apart[apart <= allowed[left]]
+    short, long, size = {}, {}, np.zeros(len(one), np.int64)
+    for i, least in zip(left.tolist(), apart.tolist(), strict=True):
+        a, b = stripped(one[i], two[i])
         if len(a) > len(b):
             a, b = b, a
-        if len(b) <= most:
+        # few letters that differ: mostly a few edits, which the bound tells
+        if len(b) <= allowed[i] or 2 * least <= allowed[i] and distance_bound(a, b) <= allowed[i]:
             out[i] = True
-        elif len(b) - len(a) <= most:
-            short[i], long[i], allowed[i], size[i] = a, b, most, len(a)
+        else:
+            short[i], long[i], size[i] = a, b, len(a)
     words = (size + 63) // 64
-    for w in np.unique(words[size > 0]).tolist():
-        at = np.flatnonzero(words == w)
+    filled = np.append(FILLED, WORDS + 1)[np.minimum(np.searchsorted(FILLED, words), len(FILLED))]
+    for w in np.unique(filled[size > 0]).tolist():
+        at = np.flatnonzero((filled == w) & (size > 0))
         at = at[np.argsort([-len(long[i]) for i in at], kind="stable")]
         for lo in range(0, len(at), PAIRS):
             own = at[lo : lo + PAIRS]
-            a, b = [short[i] for i in own], [long[i] for i in own]
-            points = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
-            letters, points = np.unique(points, return_inverse=True)
-            if w > WORDS or w * len(own) * len(letters) > TABLE:
+            # a numpy step costs as much as several pairs' steps in plain integers
+            plain = w > WORDS or len(own) < 8 * min(w, int(allowed[own].max()) // 64 + 2)
+            if not plain:
+                # what both end with doesn't change a distance
+                more = np.maximum(0, 64 * (w - 1) + 1 - size[own])
+                a, b = [short[i] + " " * k for i, k in zip(own, more, strict=True)], [long[i] + " " * k for i, k in zip(own, more, strict=True)]
+                by = sorted(range(len(own)), key=lambda k: -len(b[k]))
+                own, a, b = own[by], [a[k] for k in by], [b[k] for k in by]
+                points = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
+                letters, points = np.unique(points, return_inverse=True)
+                plain = w * len(own) * len(letters) > TABLE
+            if plain:
                 out[own] = [similar(one[i], two[i], percent) for i in own]
             else:
-                out[own] = _distances(points, size[own], np.fromiter(map(len, b), np.int64, len(b)), len(letters), w, allowed[own]) <= allowed[own]
+                m, n = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+                out[own] = _distances(points, m, n, len(letters), w, allowed[own]) <= allowed[own]
     return out
 
 
@@ -269,8 +303,71 @@ def codes(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _LOWS = sum(1 << 3 * k for k in range(CODED))
 #: Of the XOR of two codes: whether they agree in AGREE places at least, and the lengths allow similar lines.
 ALIKE = f"bit_count((({{0}}) | shiftright({{0}}, 1) | shiftright({{0}}, 2)) & {_LOWS}L) <= {CODED - AGREE} and bit_count(shiftrightunsigned({{0}}, 60)) <= 1"
-#: How often the rows of large buckets are compared in random parts before all that are still apart are.
-ROUNDS = 2
+#: Rows and bytes of text in a block of a large bucket; pairs and characters that are compared at a time.
+BLOCK, BLOCK_BYTES, COMPARED, CHARACTERS = 4096, 8 << 20, 16384, 8 << 20
+
+
+def _candidates(codes: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a cell whose codes are ALIKE and whose labels differ: of side 0 and side 1, or of all rows (side 2)."""
+    alone = bool((sides == 2).any())
+    x, y = np.flatnonzero(sides != 1), np.flatnonzero(sides == 1)
+    for lo in range(0, len(x), 128):
+        i, j = x[lo : lo + 128], x[lo + 1 :] if alone else y
+        unlike = codes[i, None] ^ codes[j]
+        fits = np.bitwise_count((unlike | unlike >> np.uint64(1) | unlike >> np.uint64(2)) & np.uint64(_LOWS)) <= CODED - AGREE
+        fits &= (np.bitwise_count(unlike >> np.uint64(60)) <= 1) & (labels[i, None] != labels[j])
+        if alone:
+            fits &= i[:, None] < j
+        p, q = np.nonzero(fits)
+        yield i[p], j[q]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different labels that are similar, from cells: key, lists side, id, code, label, form, keys (of the cells the row is in).
+
+    A pair is compared in the least key of both.  One without forms is left to the caller.
+    """
+    a, b, one, two, held = [], [], [], [], 0
+
+    def out(a: list[int], b: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(map(min, a, b)), pa.int64()), pa.array(list(map(max, a, b)), pa.int64())], names=["a", "b"])
+
+    def compared() -> pa.RecordBatch:
+        like = np.flatnonzero(similar_pairs(one, two, PERCENT)).tolist()
+        return out([a[i] for i in like], [b[i] for i in like])
+
+    for batch in slices(batches, 1):
+        key, rows = batch.column(0)[0].as_py(), batch.column(1)[0].values
+        side, ids, code, label, forms, keys = (rows.field(k) for k in ("side", "id", "code", "label", "form", "keys"))
+        ids = ids.to_numpy()
+        texts: dict[int, str | None] = {}
+        of: dict[int, set[int]] = {}
+        for p, q in _candidates(code.to_numpy().view(np.uint64), label.to_numpy(), side.to_numpy()):
+            for k in np.unique(np.concatenate([p, q])).tolist():
+                if k not in of:
+                    form = forms[k].as_py()
+                    texts[k], of[k] = None if form is None else form.decode("utf-8", "replace"), set(keys[k].as_py())
+            loose: tuple[list[int], list[int]] = ([], [])
+            for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                if min(of[i] & of[j]) != key:
+                    continue
+                s, t = texts[i], texts[j]
+                if s is None or t is None:
+                    loose[0].append(int(ids[i]))
+                    loose[1].append(int(ids[j]))
+                elif abs(len(s) - len(t)) * 100 <= max(len(s), len(t)) * (100 - PERCENT):
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
+                    one.append(s)
+                    two.append(t)
+                    held += len(s) + len(t)
+                    if len(one) >= COMPARED or held >= CHARACTERS:
+                        yield compared()
+                        a, b, one, two, held = [], [], [], [], 0
+            if loose[0]:
+                yield out(*loose)
+    if one:
+        yield compared()
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,19 +434,35 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     forms = once.where("form is not null").select("id", "form")
     keys = once.select(F.explode("keys").alias("key"), "id", F.col("code").alias("rest"))
 
+    def forms_of(ids: DataFrame) -> DataFrame:
+        return written(forms.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "norms")
+
     def verify(pairs: DataFrame) -> DataFrame:
         near = written(pairs, "near")
-        norms = written(forms.join(small(ends_of(near)), "id", "left_semi").dropDuplicates(["id"]), "norms")
+        ends = ends_of(near)
+        norms = forms_of(ends)
         x, y = norms.toDF("a", "norm_a"), norms.toDF("b", "norm_b")
 
         @F.pandas_udf("boolean")
         def alike(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series(similar_pairs([p.decode("utf-8", "replace") for p in x], [q.decode("utf-8", "replace") for q in y], PERCENT))
 
-        with arrow_rows(docs.sparkSession, 4096):
-            return written(near.join(x, "a").join(y, "b").where(alike("norm_a", "norm_b")).select("a", "b"), "alike")
-
-    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", ROUNDS, ALIKE.format("both"))
+        with arrow_rows(docs.sparkSession, COMPARED):
+            found = written(near.join(x, "a").join(y, "b").where(alike("norm_a", "norm_b")).select("a", "b"), "alike")
+        for done in (near, ends, norms):
+            forget(done)
+        return found
+
+    def within(rows: DataFrame) -> DataFrame:
+        held = written(rows.groupBy("id").agg(F.collect_set("key").alias("keys")), "large-ids")
+        told = held.join(forms_of(held.select("id")), "id", "left")
+        sizes = written(told.select("id", F.coalesce(F.octet_length("form"), F.lit(0)).cast("long").alias("size")), "sizes")
+        dealt = graph.cells(rows.join(small(sizes), "id"), BLOCK, BLOCK_BYTES).join(told, "id")
+        cell = dealt.groupBy("key", "cell").agg(F.collect_list(F.struct("side", "id", F.col("rest").alias("code"), "label", "form", "keys")).alias("rows"))
+        with arrow_rows(docs.sparkSession, 64):
+            return written(cell.select("key", "rows").mapInArrow(lambda batches: released(_linked(batches)), "a long, b long"), "within")
+
+    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", ALIKE.format("both"), within)
     grouped = lines.join(found, "id", "left").select("id", "more", "doc", "line", "places", F.coalesce("label", "id").alias("of"), F.when(F.col("label").isNull(), F.col("more")).alias("part"))
     groups = grouped.groupBy("of", "part").agg(first.alias("stays"), F.sum("places").alias("total")).where("total > 1")
     repeated = grouped.join(groups, (grouped["of"] == groups["of"]) & grouped["part"].eqNullSafe(groups["part"])).select(F.struct("id", "more").alias("node"), "stays", "places")

@@ -86,3 +86,43 @@ def test_edit_similarity_of_long_pairs_within_bands():
         two.append("".join(b))
     for percent in (60, 80, 95):
         assert lines.similar_pairs(one, two, percent).tolist() == [lines.similar(a, b, percent) for a, b in zip(one, two, strict=True)]
+
+
+def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
+    """Pairs of large buckets are compared where their rows meet: no row for a pair, and none for a pair of components, comes out."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(100)]
+    texts += [" ".join(["other", *t.split()[1:]]) for t in texts[:30]]
+    forms = [t.encode() for t in texts]
+    lines_like = {(i, j) for i in range(130) for j in range(i + 1, 130) if lines.similar(texts[i], texts[j], lines.PERCENT)}
+    code = lines.codes(lines.np.zeros((lines.MINHASHES, 130), lines.np.uint32), lines.np.array(list(map(len, texts)))).tolist()
+    # two keys share all rows: a pair is compared once; rows 0 and 100 are in one component; row 50 has no form
+    rows = [(key, i, code[i], 0 if i in (0, 100) else i, None if i == 50 else forms[i], [7, 9], len(texts[i])) for key in (7, 9) for i in range(130)]
+    table = spark.createDataFrame(rows, "key long, id long, code long, label long, form binary, keys array<long>, size long")
+    for most in (1000, 40, 1):
+        dealt = graph.cells(table, most, 1 << 20)
+        cell = dealt.groupBy("key", "cell").agg(lines.F.collect_list(lines.F.struct("side", "id", "code", "label", "form", "keys")).alias("rows")).select("key", "rows")
+        got = [(r["a"], r["b"]) for r in cell.mapInArrow(lines._linked, "a long, b long").collect()]
+        assert len(got) == len(set(got))
+        assert {p for p in got if 50 not in p} == {p for p in lines_like if 50 not in p} - {(0, 100)}
+        assert {(min(i, 50), max(i, 50)) for i in range(130) if i != 50 and lines.similar(texts[i], texts[50], lines.PERCENT)} <= set(got)
+
+
+def test_merged_components_equal_those_of_all_links(spark):
+    rng = random.Random(5)
+    some, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(60)] for _ in range(2))
+    table = lambda pairs: lines.written(spark.createDataFrame(pairs, "a long, b long").where("a != b"), "links")
+    found = lines.written(graph.components(table(some)), "labels")
+    got = {r["id"]: r["label"] for r in graph.merged(found, table(more)).collect()}
+    assert got == {r["id"]: r["label"] for r in graph.components(table(some + more)).collect()}
+
+
+def test_letters_bound_distances_from_below():
+    rng = random.Random(6)
+    one = ["".join(rng.choice("abcdeé目") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    two = [x[3:] + "ab" if rng.random() < 0.5 else "".join(rng.choice("abcdeé目") for _ in range(rng.randint(0, 40))) for x in one]
+    for least, a, b in zip(lines.letters_apart(one, two).tolist(), one, two, strict=True):
+        most = max(len(a), len(b))
+        assert least == 0 or not lines.similar(a, b, 100 - (100 * (least - 1)) // max(1, most))
+    assert lines.similar_pairs(one, two, 80).tolist() == [lines.similar(a, b, 80) for a, b in zip(one, two, strict=True)]
