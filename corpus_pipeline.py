@@ -1,4 +1,4 @@
-"""A corpus from raw documents to token ids, in five stages; each result is written as Parquet and read by the next stage.
+"""A corpus from raw documents to token ids, in five stages; each result is written as Parquet (the last by its stage) and read by the next stage.
 
 The operators and their defined cases (nulls, empty and long texts, repeated rows, empty tables) are described in their modules in
 larder/llm.  All stages but the last return the columns of ``documents``.
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import bpe, jaccard, langid, lines, mixing
-from larder.llm.common import ship, written
+from larder.llm.common import arrow_rows, ship, written
 
 #: A document whose corrected hit rate in its best language is lower isn't in any of the learned languages.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -51,9 +51,11 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids of every document, and whether the ids decode to its text."""
     ship(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN), path)
+    both = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    # executed here, where batches are small: JVM and Python hold several of each task at once
+    with arrow_rows(spark, bpe.TRIP_ROWS):
+        return written(both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip")), "token-ids")
 
 
 STAGES = [
@@ -72,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        done = stage(spark, docs, sf_dir)
+        docs = done if hasattr(done, "larder_path") else written(done, f"stage-{k}")
     return docs

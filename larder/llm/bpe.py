@@ -109,25 +109,34 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids
     """``df`` with an ``array<int>`` column of token ids; each match of ``pattern`` is merged by itself."""
     ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
     kept = [c for c in df.columns if c != ids]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-
-    def run(batches: Iterator[pa.RecordBatch], pieces: _Pieces) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern).findall
-        for batch in slices(batches, 1024):
-            rows = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-            for lo, hi in _slices(ends):
-                flat = np.concatenate(rows[lo:hi]) if hi > lo else np.empty(0, np.int32)
-                made = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), made], names=[*kept, ids])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _Pieces(ranks.value)
-        return released(run(batches, pieces), pieces)
+        return released(_encoded(batches, pieces, pattern, kept, text, ids, 1024), pieces)
+
+    return df.mapInArrow(task, _with(df, kept, _ids_field(ids)))
+
+
+def _with(df: DataFrame, kept: list[str], *fields: T.StructField) -> T.StructType:
+    return T.StructType([*(df.schema[c] for c in kept), *fields])
+
+
+def _ids_field(ids: str) -> T.StructField:
+    return T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], pieces: _Pieces, pattern: str, kept: list[str], text: str, ids: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` and the ids, in batches of ``most`` rows at most."""
+    import regex
 
-    return df.mapInArrow(task, schema)
+    split = regex.compile(pattern).findall
+    for batch in slices(batches, most):
+        rows = [np.frombuffer(b"".join(map(pieces.__getitem__, split(t))), np.int32) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+        for lo, hi in _slices(ends):
+            flat = np.concatenate(rows[lo:hi]) if hi > lo else np.empty(0, np.int32)
+            made = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), made], names=[*kept, ids])
 
 
 def _slices(ends: np.ndarray, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
@@ -143,17 +152,34 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", out: str = "decoded
     """``df`` with the bytes of its ids in a binary column; an id outside the vocabulary fails the job."""
     tokens = df.sparkSession.sparkContext.broadcast({i: t for t, i in load_ranks(vocab_path).items()})
     kept = [c for c in df.columns if c != out]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.BinaryType(), False)])
+    return df.mapInArrow(lambda batches: released(_decoded(batches, tokens.value, kept, ids, out, 1024)), _with(df, kept, T.StructField(out, T.BinaryType(), False)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = tokens.value.__getitem__
-        for batch in slices(batches, 1024):
-            column = batch.column(ids)
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            made = [b"" if v is False else b"".join(map(get, flat[a:b].tolist())) for a, b, v in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary())], names=[*kept, out])
 
-    return df.mapInArrow(lambda batches: released(run(batches)), schema)
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: dict[int, bytes], kept: list[str], ids: str, out: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The columns ``kept`` and the bytes of the ids, in batches of ``most`` rows at most."""
+    get = tokens.__getitem__
+    for batch in slices(batches, most):
+        column = batch.column(ids)
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        made = [b"" if v is False else b"".join(map(get, flat[a:b].tolist())) for a, b, v in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.binary())], names=[*kept, out])
+
+
+#: Rows of the Arrow batches that :func:`round_trip` makes.
+TRIP_ROWS = 256
+
+
+def round_trip(df: DataFrame, vocab_path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """:func:`decode` of :func:`encode`, in one Python worker a task in place of two, over small batches."""
+    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
+    kept = [c for c in df.columns if c not in (ids, out)]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces(ranks.value)
+        tokens = {i: t for t, i in ranks.value.items()}
+        return released(_decoded(_encoded(batches, pieces, pattern, kept, text, ids, TRIP_ROWS), tokens, [*kept, ids], ids, out, TRIP_ROWS), pieces)
+
+    return df.mapInArrow(task, _with(df, kept, _ids_field(ids), T.StructField(out, T.BinaryType(), False)))
 
 
 def digests(df: DataFrame, vocab_path: str, pattern: str) -> DataFrame:

@@ -53,6 +53,21 @@ def test_documents(spark, sf):
     assert bpe.digests(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_round_trip_takes_one_worker_a_task(spark):
+    """The last stage ran two Python workers a task over batches of 10,000 rows, which took more memory than an executor has."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in EDGE], "doc_id long, text string, lang string, source string")
+    path = P.path("byte_bpe_50k.tiktoken")
+    both = bpe.round_trip(docs.withColumn("ids", F.lit("clash")), path, P.PATTERN)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = Counter((i, t, tuple(WANT(t or "")), (t or "").encode()) for i, t in EDGE)
+    assert Counter((r["doc_id"], r["text"], tuple(r["ids"]), bytes(r["decoded"])) for r in both.collect()) == want
+    out = corpus_pipeline.token_ids(spark, docs, "")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # it ran over small batches, before the caller's own setting holds
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["n_tokens"], r["round_trip"]) for r in out.collect()) == Counter((i, tuple(WANT(t or "")), len(WANT(t or "")), True) for i, t in EDGE)
+
+
 def test_matrix_margins():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 50, 17)
