@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, small, written
+from .common import HASHES_ONLY, forget, small, written
 
 #: Buckets of up to this many rows are joined with themselves directly.
 FEW = 32
@@ -49,7 +49,7 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(small(tops).toDF("label", "top"), "label", "left").select("id", F.coalesce("top", "label").alias("label")), "labels")
 
 
-def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, two: str = "true", within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], DataFrame], rests: str = "true", group_rests: str | None = None, two: str = "true", within: Callable[[DataFrame], DataFrame] | None = None, shared: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of all links between ids that share a key, without comparing all pairs of a bucket.
 
     keys (a plan that is cheap to run again): long key, long id, int n (a size; may be left out), long rest (a bound or a code); sizes: condition on na, nb that any
@@ -57,7 +57,8 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     two groups, by their smallest sizes and largest rests (by default rests, which smaller sizes and larger rests must meet rather);
     two: condition on both, the XOR of the rests in a bucket of two, that a linked pair meets; verify: table of distinct pairs (a, b) to a
     written table of the linked ones; within: written table of all rows (key, id, n, rest, label) of the buckets of more than FEW rows and several labels to a
-    table of pairs (a, b) that has every linked pair of different labels that shares a key (by default a join of the labels, then of their rows).
+    table of pairs (a, b) that has every linked pair of different labels that shares a key (by default a join of the labels, then of their rows);
+    shared: is given the written table of all rows in buckets of several ids before any pair is verified.
 
     Three rounds, each leaving out pairs that the links so far have joined, as they could not change the result.  In
     the first every id is compared with the least id of its buckets, which joins a large group of copies in as many pairs as it
@@ -80,10 +81,12 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     multi = dealt.join(heads.hint("shuffle_hash"), "key")  # what is hashed are the keys of several ids
     warm = written(keys.join(hot, "key", "left_semi"), "hot-rows")
     multi = multi.unionByName(warm.join(small(written(warm.groupBy("key").agg(*told).where(fit).select("key", "lead", "of"), "hot-heads")), "key"))
-    multi = written(multi if sized else multi.withColumn("n", F.lit(0)), "buckets")
+    multi = written(multi if sized else multi.withColumn("n", F.lit(0)), "buckets", **HASHES_ONLY)
+    if shared is not None:
+        shared(multi)
     leads = multi.where("id = lead").select("key", F.col("lead").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).dropDuplicates(["key"])
     stars = multi.where("id != lead").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")).join(leads, "key").where(fits)
-    stars = written(stars.select("a", "b").distinct(), "stars")
+    stars = written(stars.select("a", "b").distinct(), "stars", **HASHES_ONLY)
     found = written(components(verify(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))), "labels")
 
     more = verify(_apart(stars, found).select("a", "b"))
@@ -94,7 +97,7 @@ def link_buckets(keys: DataFrame, sizes: str, verify: Callable[[DataFrame], Data
     # what is left: buckets of three and more, without their least ids, in more than one component
     rest = multi.where("id != lead and of > 2").join(small(found), "id", "left").select("key", "id", "n", "rest", "of", F.coalesce("label", "id").alias("label"))
     own = ["key", "id", "n", "rest", "label"]
-    rest = written(rest, "rest")
+    rest = written(rest, "rest", **HASHES_ONLY)
     forget(multi)
     few = rest.where(f"of <= {FEW}").select(*own).repartition("key")  # one exchange for both sides
     x, y = few.toDF("key", "x", "na", "ra", "label"), few.toDF("key", "y", "nb", "rb", "other")

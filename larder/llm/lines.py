@@ -50,7 +50,11 @@ _TABLE = bytes(b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isd
 
 def normal_forms(text: str) -> list[bytes]:
     """The normal form, in UTF-8, of every line. A line of nothing but punctuation is its own normal form; that of a blank one is empty."""
-    forms = [b" ".join(x.split()) for x in text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split(b"\n")]
+    # the table leaves blanks and line ends alone of all white space; runs of blanks are halved over the whole text, not line by line
+    whole = text.lower().encode("utf-8", "surrogatepass").translate(_TABLE)
+    while b"  " in whole:
+        whole = whole.replace(b"  ", b" ")
+    forms = [x.strip() for x in whole.split(b"\n")]
     lines = None
     for i, form in enumerate(forms):
         if not form or form[0] > 127:
@@ -65,6 +69,10 @@ def normalise(line: str) -> list[bytes]:
     return normal_forms(line)[0].split()
 
 
+#: Columns of the distance matrix of one pair for which the rows are chosen at a time.
+BAND = 256
+
+
 def stripped(a: str, b: str) -> tuple[str, str]:
     """Both without what they start and end with in common."""
     lo, hi = 0, min(len(a), len(b))
@@ -104,21 +112,31 @@ def similar(a: str, b: str, percent: int) -> bool:
         return False
     if len(b) <= allowed or distance_bound(a, b) <= allowed:
         return True
-    # bit-parallel columns of the distance matrix
+    # bit-parallel columns of the distance matrix, of the rows low to high that a path of allowed cost can cross in the next BAND columns
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1) if a else 0
-    up, down, distance = full, 0, len(a)
-    for k, c in enumerate(b):
-        at = places.get(c, 0)
-        cross = (((at & up) + up) ^ up) | at | down
-        more, less = down | ~(cross | up) & full, up & cross
-        distance += (more & last != 0) - (less & last != 0)
-        if distance - (len(b) - 1 - k) > allowed:
-            return False
-        more, less = (more << 1 | 1) & full, less << 1 & full
-        up, down = less | ~((at | down) | more) & full, more & (at | down)
+    m, n = len(a), len(b)
+    right, left = (allowed + n - m) // 2, (allowed - n + m) // 2
+    low = high = up = down = distance = 0
+    for start in range(0, n, BAND):
+        stop = min(n, start + BAND)
+        gone, more = max(0, start - right) - low, min(m, stop + left) - high
+        up, down = up >> gone | ((1 << more) - 1) << (high - low - gone), down >> gone
+        low, high, distance = low + gone, high + more, distance + more
+        full, last = (1 << (high - low)) - 1, 1 << (high - low - 1)
+        near: dict[str, int] = {}
+        for k in range(start, stop):
+            at = near.get(b[k])
+            if at is None:
+                at = near[b[k]] = places.get(b[k], 0) >> low & full
+            cross = (((at & up) + up) ^ up) | at | down
+            more, less = down | ~(cross | up) & full, up & cross
+            distance += (more & last != 0) - (less & last != 0)
+            if high == m and distance - (n - 1 - k) > allowed:
+                return False
+            more, less = (more << 1 | 1) & full, less << 1 & full
+            up, down = less | ~((at | down) | more) & full, more & (at | down)
     return distance <= allowed
 
 
@@ -423,7 +441,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     table = written(plain.mapInArrow(lambda batches: released(_occurrences(batches)), "doc long, line int, id long, more long, n int, form binary, keys array<long>, code long"), "lines", **HASHES_ONLY)
     seen = table.where("n is not null").select("doc", "line", "id", "more")
     first = F.min(F.struct("doc", "line"))
-    lines = written(seen.groupBy("id", "more").agg(first.alias("first"), F.count("*").alias("places")).select("id", "more", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "places"), "distinct-lines")
+    lines = written(seen.groupBy("id", "more").agg(first.alias("first"), F.count("*").alias("places")).select("id", "more", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "places"), "distinct-lines", **HASHES_ONLY)
     clash = small(written(lines.groupBy("id").count().where("count > 1").select("id"), "clashes"))
     repeats = written(lines.where("places > 1").select("id", F.col("doc").alias("of"), F.col("line").alias("at"), "places"), "repeats")
     once = lookup(table, repeats, "id", F.struct("doc", "line"), "places").where("of is null or of = doc and at = line").join(clash, "id", "left_anti")
@@ -433,9 +451,14 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
         once = written(once.select("id", "n", "form", "keys", "code"), "once", **HASHES_ONLY)
     forms = once.where("form is not null").select("id", "form")
     keys = once.select(F.explode("keys").alias("key"), "id", F.col("code").alias("rest"))
+    bucketed: list[DataFrame] = []
+
+    def shared(buckets: DataFrame) -> None:
+        # few lines share a key with another; each round reads only theirs. A line has one row with its form
+        bucketed.append(written(forms.join(small(written(buckets.select("id").distinct(), "bucketed-ids", **HASHES_ONLY)), "id", "left_semi"), "bucketed-forms"))
 
     def forms_of(ids: DataFrame) -> DataFrame:
-        return written(forms.join(small(ids), "id", "left_semi").dropDuplicates(["id"]), "norms")
+        return written(bucketed[0].join(small(ids), "id", "left_semi"), "norms")
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = written(pairs, "near")
@@ -462,8 +485,10 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
         with arrow_rows(docs.sparkSession, 64):
             return written(cell.select("key", "rows").mapInArrow(lambda batches: released(_linked(batches)), "a long, b long"), "within")
 
-    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", ALIKE.format("both"), within)
-    grouped = lines.join(found, "id", "left").select("id", "more", "doc", "line", "places", F.coalesce("label", "id").alias("of"), F.when(F.col("label").isNull(), F.col("more")).alias("part"))
+    found = graph.link_buckets(keys, "true", verify, ALIKE.format("ra ^ rb"), "true", ALIKE.format("both"), within, shared)
+    # a line that has no link and one place is alone in its group, and stays
+    grouped = lines.join(small(found), "id", "left").where("label is not null or places > 1")
+    grouped = written(grouped.select("id", "more", "doc", "line", "places", F.coalesce("label", "id").alias("of"), F.when(F.col("label").isNull(), F.col("more")).alias("part")), "grouped", **HASHES_ONLY)
     groups = grouped.groupBy("of", "part").agg(first.alias("stays"), F.sum("places").alias("total")).where("total > 1")
     repeated = grouped.join(groups, (grouped["of"] == groups["of"]) & grouped["part"].eqNullSafe(groups["part"])).select(F.struct("id", "more").alias("node"), "stays", "places")
     gone = lookup(seen.select("doc", "line", F.struct("id", "more").alias("node")), written(repeated, "repeated"), "node", F.struct("doc", "line"), "places").where(F.col("stays").isNotNull() & (F.struct("doc", "line") != F.col("stays")))
@@ -474,7 +499,7 @@ def _dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     left = F.transform(F.array(F.split(col(text), "\n", -1)), without)[0]
     return told.select(
         *(F.when(F.col("__drop").isNull(), col(c)).otherwise(left).alias(c) if c == text else col(c) for c in kept),
-        F.coalesce(F.size(F.split(col(text), "\n", -1)), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.octet_length(col(text)) - F.octet_length(F.replace(col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).alias("n_dropped"),
     )
 

@@ -88,6 +88,50 @@ def test_edit_similarity_of_long_pairs_within_bands():
         assert lines.similar_pairs(one, two, percent).tolist() == [lines.similar(a, b, percent) for a, b in zip(one, two, strict=True)]
 
 
+def test_one_pair_within_a_band(monkeypatch):
+    """Whatever the columns chosen at a time, the distance of one pair is that of the whole matrix where it is allowed."""
+    rng = random.Random(11)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            last, row = row, [i + 1]
+            for j, d in enumerate(b):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    monkeypatch.setattr(lines, "distance_bound", lambda a, b: 1 << 30)  # no pair is told before its matrix
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 90)))
+        b = "".join(c if rng.random() < 0.8 else rng.choice(["", "a", "xy"]) for c in a)
+        for cut in (b, b[rng.randint(0, 9) :] + "c" * rng.randint(0, 9)):
+            far, most = distance(a, cut), max(len(a), len(cut))
+            for lines_band in (1, 7, 64):
+                monkeypatch.setattr(lines, "BAND", lines_band)
+                assert [lines.similar(a, cut, p) for p in (50, 80, 95)] == [far <= most * (100 - p) // 100 for p in (50, 80, 95)]
+
+
+def test_rounds_read_few_forms_and_groups_few_rows(spark, monkeypatch):
+    """Each round read the forms of all lines through a shuffle, and all lines went through the shuffles of the groups."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshrdlucm") for _ in range(7))
+    own = [" ".join(word() for _ in range(9)) for _ in range(60)]
+    near = [" ".join([word(), *x.split()[1:]]) for x in own[:5]]
+    rows = [(i, x) for i, x in enumerate(own)] + [(100 + i, x) for i, x in enumerate(near)] + [(200 + i, x) for i, x in enumerate(own[10:13])]
+    counts = {}
+
+    def written(df, what, **options):
+        out = common_written(df, what, **options)
+        counts.setdefault(what, out.count())
+        return out
+
+    common_written = lines.written
+    monkeypatch.setattr(lines, "written", written)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in lines.dedup(spark.createDataFrame([*rows, (300, None), (301, ""), (302, "\n\n")], "doc_id long, text string")).collect()}
+    assert counts["distinct-lines"] == 65 and counts["bucketed-forms"] <= 12 and counts["grouped"] == 13
+    assert got == {i: (1, int(i >= 100)) for i, _ in rows} | {300: (0, 0), 301: (1, 0), 302: (3, 0)}
+
+
 def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
     """Pairs of large buckets are compared where their rows meet: no row for a pair, and none for a pair of components, comes out."""
     rng = random.Random(3)
