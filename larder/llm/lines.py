@@ -75,16 +75,19 @@ BAND = 256
 
 def stripped(a: str, b: str) -> tuple[str, str]:
     """Both without what they start and end with in common."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
-    a, b = a[lo:], b[lo:]
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo] else (lo, mid - 1)
-    return a[: len(a) - lo], b[: len(b) - lo]
+    if a[:1] == b[:1]:
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+        a, b = a[lo:], b[lo:]
+    if a[-1:] == b[-1:]:
+        lo, hi = 0, min(len(a), len(b))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo] else (lo, mid - 1)
+        a, b = a[: len(a) - lo], b[: len(b) - lo]
+    return a, b
 
 
 def distance_bound(a: str, b: str) -> int:
@@ -140,10 +143,12 @@ def similar(a: str, b: str, percent: int) -> bool:
     return distance <= allowed
 
 
-#: Patterns of up to so many words of 64 characters are compared in numpy, PAIRS at a time; TABLE bounds the places of one table of them.
-WORDS, PAIRS, TABLE = 32, 1024, 1 << 21
+#: Patterns of up to so many words of 64 characters are compared in numpy, PAIRS at a time or fewer; TABLE bounds the places of one table of them.
+WORDS, PAIRS, TABLE = 64, 2048, 1 << 21
+#: Fewer pairs are compared one by one.
+FEWEST = 12
 #: Numbers of words that patterns are filled up to, so that many pairs advance together.
-FILLED = np.array([1, 2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 28, 32])
+FILLED = np.array([1, 2, 3, 4, 6, 8, 11, 16, 22, 32, 44, 64])
 #: Classes in which letters are counted.
 LETTERS = 128
 
@@ -184,25 +189,28 @@ def similar_pairs(one: list[str], two: list[str], percent: int) -> np.ndarray:
     filled = np.append(FILLED, WORDS + 1)[np.minimum(np.searchsorted(FILLED, words), len(FILLED))]
     for w in np.unique(filled[size > 0]).tolist():
         at = np.flatnonzero((filled == w) & (size > 0))
-        at = at[np.argsort([-len(long[i]) for i in at], kind="stable")]
-        for lo in range(0, len(at), PAIRS):
-            own = at[lo : lo + PAIRS]
+        at = at[np.argsort([-len(long[i]) for i in at.tolist()], kind="stable")]
+        together = max(1, min(PAIRS, TABLE // (w * LETTERS)))
+        for lo in range(0, len(at), together):
+            own = at[lo : lo + together]
             # a numpy step costs as much as several pairs' steps in plain integers
-            plain = w > WORDS or len(own) < 8 * min(w, int(allowed[own].max()) // 64 + 2)
+            plain = w > WORDS or len(own) < FEWEST
             if not plain:
                 # what both end with doesn't change a distance
                 more = np.maximum(0, 64 * (w - 1) + 1 - size[own])
-                a, b = [short[i] + " " * k for i, k in zip(own, more, strict=True)], [long[i] + " " * k for i, k in zip(own, more, strict=True)]
+                a, b = [short[i] + " " * k for i, k in zip(own.tolist(), more.tolist(), strict=True)], [long[i] + " " * k for i, k in zip(own.tolist(), more.tolist(), strict=True)]
                 by = sorted(range(len(own)), key=lambda k: -len(b[k]))
                 own, a, b = own[by], [a[k] for k in by], [b[k] for k in by]
                 points = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32)
-                letters, points = np.unique(points, return_inverse=True)
-                plain = w * len(own) * len(letters) > TABLE
+                seen = np.zeros(int(points.max()) + 1, bool)
+                seen[points] = True
+                letters, points = int(seen.sum()), (np.cumsum(seen, dtype=np.int32) - 1)[points]
+                plain = w * len(own) * letters > TABLE
             if plain:
                 out[own] = [similar(one[i], two[i], percent) for i in own]
             else:
                 m, n = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
-                out[own] = _distances(points, m, n, len(letters), w, allowed[own]) <= allowed[own]
+                out[own] = _distances(points, m, n, letters, w, allowed[own]) <= allowed[own]
     return out
 
 
@@ -210,65 +218,90 @@ def _distances(points: np.ndarray, m: np.ndarray, n: np.ndarray, letters: int, w
     """Edit distances of pairs by bit-parallel columns, exact where they are within ``allowed`` (n - m at least), else larger than it.
 
     points: the letters of all patterns (lengths m), then of all texts (lengths n, falling).  Only the words of 64 rows that a path of
-    allowed cost can cross are computed, and pairs that have no such path any more are left out on the way.
+    allowed cost can cross are computed, and pairs that have no such path any more are left out on the way.  All words of all pairs
+    advance in one step, each a column behind the word above it, whose last row it needs.
     """
     pairs, one = len(m), np.uint64(1)
     # letters by place and pair, as places in the table of the patterns' letters
-    of_a, of_b = np.zeros((m.max(), pairs), np.int64), np.zeros((n.max(), pairs), np.int64)
+    of_a, of_b = np.zeros((m.max(), pairs), np.int64), np.zeros((n.max() + words, pairs), np.int64)
     for target, lengths, part in ((of_a, m, points[: m.sum()]), (of_b, n, points[m.sum() :])):
         row = np.repeat(np.arange(pairs), lengths)
         target[np.arange(len(part)) - np.repeat(np.cumsum(lengths) - lengths, lengths), row] = part + row * letters
-    table = np.zeros((words, pairs * letters), np.uint64)
-    for k in range(len(of_a)):
-        has = np.flatnonzero(m > k)
-        table[k // 64, of_a[k, has]] |= one << np.uint64(k % 64)
+    table, starts = np.zeros(words * pairs * letters, np.uint64), np.arange(words)[:, None] * (pairs * letters)
+    for k in range(min(64, len(of_a))):  # one bit of all words
+        at = of_a[k::64]
+        at = (at + starts[: len(at)])[m > np.arange(k, len(of_a), 64)[:, None]]
+        table[at] |= one << np.uint64(k)
     up, down = np.full((words, pairs), 2**64 - 1, np.uint64), np.zeros((words, pairs), np.uint64)
+    # whether the row above a word grows, or falls, from its last column to the next
+    more, less = np.ones((words + 1, pairs), np.uint64), np.zeros((words + 1, pairs), np.uint64)
     last, top = ((m - 1) % 64).astype(np.uint64), np.uint64(63)
     # a path leaves the first diagonal and comes to the last one, n - m further right: it is so far above and below the first at most
     right, left = int((allowed + n - m).max()) // 2, int((allowed - n + m).max()) // 2
-    bottom = min(words - 1, left // 64)
+    bottom, low, high = min(words - 1, left // 64), 0, 0
     distance = m.copy() if bottom == words - 1 else np.full(pairs, 64 * (bottom + 1), np.int64)  # in the last row of the word at the bottom
     out, own, c = allowed + 1, np.arange(pairs), pairs
-    for k in range(len(of_b)):
-        while c and n[c - 1] <= k:
+    for s in range(int(n.max()) + words - 1):  # word w is at column s - w
+        while c and n[c - 1] <= s - words + 1:
             c -= 1
-        if k % 64 == 63 and (alive := _least(up[:, :c], down[:, :c], distance[:c], last[:c], max(0, k - 1 - right) // 64, bottom) <= allowed[:c]).sum() < 0.8 * c:
+        # a path may pass between two words by a diagonal, next to what is told
+        if s % 64 == 63 and (alive := _least(up[:, :c], down[:, :c], distance[:c], last[:c], more, less, low, bottom) <= allowed[:c] + 1).sum() < 0.8 * c:
             out[own[c:]] = distance[c:]
             keep = np.flatnonzero(alive)
-            up, down, of_b, c = up[:, keep], down[:, keep], of_b[:, keep], len(keep)
+            up, down, more, less, of_b, c = up[:, keep], down[:, keep], more[:, keep], less[:, keep], of_b[:, keep], len(keep)
             m, n, last, allowed, distance, own = m[keep], n[keep], last[keep], allowed[keep], distance[keep], own[keep]
         if not c:
             break
-        low, high = max(0, k - right) // 64, min(words - 1, (k + left) // 64)
-        if high > bottom:
-            distance[:c] += m[:c] - 64 * high if high == words - 1 else 64
-            bottom = high
-        more, less = one, np.uint64(0)  # the row above those computed grows by one
-        for w in range(low, high + 1):
-            at, p, q = table[w].take(of_b[k, :c]), up[w, :c], down[w, :c]
-            steep = at | q
-            at |= less
-            cross = (((at & p) + p) ^ p) | at
-            plus, minus = q | ~(cross | p), p & cross
-            end = last[:c] if w == words - 1 else top
-            above, below = plus >> end & one, minus >> end & one
-            plus, minus = plus << one | more, minus << one | less
-            up[w, :c], down[w, :c] = minus | ~(steep | plus), plus & steep
-            more, less = above, below
-        distance[:c] += more.astype(np.int64) - less.astype(np.int64)
+        if bottom < words - 1 and s == 64 * (bottom + 1) - left + bottom:  # the next word begins in the next step
+            bottom += 1
+            distance[:c] += m[:c] - 64 * bottom if bottom == words - 1 else 64
+        while high < words - 1 and s >= high + 1 + max(0, 64 * (high + 1) - left):
+            high += 1
+        while s >= low + 64 * (low + 1) + right or s - low >= n[0]:
+            low += 1
+        if low and s == 65 * low + right:  # the word above has ended: the row above grows by one
+            more[low], less[low] = one, np.uint64(0)
+        at = table.take(of_b[s - high : s - low + 1, :c][::-1] + starts[low : high + 1])
+        p, q, grows, falls = up[low : high + 1, :c], down[low : high + 1, :c], more[low : high + 1, :c], less[low : high + 1, :c]
+        # in place as far as it goes
+        steep = at | q
+        at |= falls
+        minus = at & p
+        minus += p
+        minus ^= p
+        minus |= at
+        plus = minus | p
+        np.invert(plus, out=plus)
+        plus |= q
+        minus &= p
+        above, below = plus >> top, minus >> top
+        if high == words - 1:
+            distance[:c] += (plus[-1] >> last[:c] & one).astype(np.int64) - (minus[-1] >> last[:c] & one).astype(np.int64)
+        elif high == bottom:
+            distance[:c] += above[-1].astype(np.int64) - below[-1].astype(np.int64)
+        plus <<= one
+        plus |= grows
+        minus <<= one
+        minus |= falls
+        np.bitwise_and(plus, steep, out=q)
+        np.bitwise_or(plus, steep, out=p)
+        np.invert(p, out=p)
+        p |= minus
+        more[low + 1 : high + 2, :c], less[low + 1 : high + 2, :c] = above, below
     out[own] = distance
     return out
 
 
-def _least(up: np.ndarray, down: np.ndarray, distance: np.ndarray, last: np.ndarray, low: int, high: int) -> np.ndarray:
-    """A lower bound of the values of one column in the words low to high; distance: its value in the last row of the latter."""
-    least, under = distance.copy(), distance
+def _least(up: np.ndarray, down: np.ndarray, distance: np.ndarray, last: np.ndarray, more: np.ndarray, less: np.ndarray, low: int, high: int) -> np.ndarray:
+    """A lower bound of the values of the words low to high, each in its last column; distance: the value in the last row of the latter."""
+    least, under, c = distance.copy(), distance, len(distance)
     for w in range(high, low - 1, -1):
         rows = np.uint64(2**64 - 1) >> (np.uint64(63) - last) if w == len(up) - 1 else np.uint64(2**64 - 1)
         over = under - np.bitwise_count(up[w] & rows).astype(np.int64) + np.bitwise_count(down[w] & rows).astype(np.int64)
         # neighbours differ by one at most
         least = np.minimum(least, (over + under - np.bitwise_count(rows).astype(np.int64)) // 2)
-        under = over
+        # the word above is a column further
+        under = over + more[w, :c].astype(np.int64) - less[w, :c].astype(np.int64)
     return least
 
 

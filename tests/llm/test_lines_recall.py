@@ -88,6 +88,30 @@ def test_edit_similarity_of_long_pairs_within_bands():
         assert lines.similar_pairs(one, two, percent).tolist() == [lines.similar(a, b, percent) for a, b in zip(one, two, strict=True)]
 
 
+def test_pairs_of_many_words_advance_together(monkeypatch):
+    """Pairs of more than 2,048 characters, and few pairs of several words, were compared one by one."""
+    rng, one, two = random.Random(13), [], []
+    for low, high, count in ((2100, 3900, 40), (400, 700, 30), (30, 260, 60)):
+        for _ in range(count):
+            a = [rng.choice("abcdefgh ") for _ in range(rng.randint(low, high))]
+            part = rng.uniform(0, 0.3)
+            b = [rng.choice(["", "a", "xy"]) if rng.random() < part else c for c in a]
+            if rng.random() < 0.4:  # a shared passage at another place
+                cut = len(b) // 12
+                b = ["z"] * rng.randint(0, cut) + b[rng.randint(0, cut) :]
+            one.append("q" + "".join(a) + "r")
+            two.append("s" + "".join(b) + "t")
+    plain = {p: [lines.similar(a, b, p) for a, b in zip(one, two, strict=True)] for p in (60, 80, 90)}
+    monkeypatch.setattr(lines, "FILLED", lines.np.array([1, 2, 4, 8, 16, 32, 64]))  # classes of several pairs
+    monkeypatch.setattr(lines, "distance_bound", lambda a, b: 1 << 30)
+    alone, whole = [], lines.similar
+    monkeypatch.setattr(lines, "similar", lambda a, b, p: alone.append(len(a)) or whole(a, b, p))
+    for percent in (60, 80, 90):
+        alone.clear()
+        assert lines.similar_pairs(one, two, percent).tolist() == plain[percent] and 0 < sum(plain[percent]) < len(one)
+        assert not [n for n in alone if n > 2048]
+
+
 def test_one_pair_within_a_band(monkeypatch):
     """Whatever the columns chosen at a time, the distance of one pair is that of the whole matrix where it is allowed."""
     rng = random.Random(11)
