@@ -376,24 +376,37 @@ def _candidates(codes: np.ndarray, labels: np.ndarray, sides: np.ndarray) -> Ite
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of different labels that are similar, from cells: key, lists side, id, code, label, form, keys (of the cells the row is in).
 
-    A pair is compared in the least key of both.  One without forms is left to the caller.
+    A pair is compared in the least key of both.  One without forms is left to the caller; of the others, those come out that join labels which
+    the task's links so far have not joined: no more of them than labels.
     """
-    a, b, one, two, held = [], [], [], [], 0
+    a, b, one, two, ends, held = [], [], [], [], [], 0
+    joined: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while joined.get(x, x) != x:
+            joined[x] = joined.get(joined[x], joined[x])
+            x = joined[x]
+        return x
 
     def out(a: list[int], b: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(map(min, a, b)), pa.int64()), pa.array(list(map(max, a, b)), pa.int64())], names=["a", "b"])
 
     def compared() -> pa.RecordBatch:
-        like = np.flatnonzero(similar_pairs(one, two, PERCENT)).tolist()
+        like = []
+        for i in np.flatnonzero(similar_pairs(one, two, PERCENT)).tolist():
+            x, y = top(ends[i][0]), top(ends[i][1])
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                like.append(i)
         return out([a[i] for i in like], [b[i] for i in like])
 
     for batch in slices(batches, 1):
         key, rows = batch.column(0)[0].as_py(), batch.column(1)[0].values
         side, ids, code, label, forms, keys = (rows.field(k) for k in ("side", "id", "code", "label", "form", "keys"))
-        ids = ids.to_numpy()
+        ids, labels = ids.to_numpy(), label.to_numpy()
         texts: dict[int, str | None] = {}
         of: dict[int, set[int]] = {}
-        for p, q in _candidates(code.to_numpy().view(np.uint64), label.to_numpy(), side.to_numpy()):
+        for p, q in _candidates(code.to_numpy().view(np.uint64), labels, side.to_numpy()):
             for k in np.unique(np.concatenate([p, q])).tolist():
                 if k not in of:
                     form = forms[k].as_py()
@@ -411,10 +424,11 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.append(int(ids[j]))
                     one.append(s)
                     two.append(t)
+                    ends.append((int(labels[i]), int(labels[j])))
                     held += len(s) + len(t)
                     if len(one) >= COMPARED or held >= CHARACTERS:
                         yield compared()
-                        a, b, one, two, held = [], [], [], [], 0
+                        a, b, one, two, ends, held = [], [], [], [], [], 0
             if loose[0]:
                 yield out(*loose)
     if one:

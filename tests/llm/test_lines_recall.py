@@ -177,6 +177,13 @@ def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
         assert {(min(i, 50), max(i, 50)) for i in range(130) if i != 50 and lines.similar(texts[i], texts[50], lines.PERCENT)} <= set(got)
 
 
+def test_links_of_near_copies_in_a_cell_are_no_more_than_their_labels():
+    text = "a line of several words of which each copy has another number of letters at the end "
+    rows = [{"side": 2, "id": i, "code": 0, "label": i, "form": (text + "x" * (i % 9) + chr(97 + i // 9)).encode(), "keys": [7]} for i in range(60)]
+    got = [p for b in lines._linked(iter(lines.pa.table({"key": lines.pa.array([7]), "rows": [rows]}).to_batches())) for p in zip(*b.to_pydict().values())]
+    assert len(got) == 59 and {x for p in got for x in p} == set(range(60))
+
+
 def test_merged_components_equal_those_of_all_links(spark):
     rng = random.Random(5)
     some, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(60)] for _ in range(2))
