@@ -34,3 +34,17 @@ def test_recall_with_few_visits(spark, items, tmp_path):
 def test_nothing_to_index(items, tmp_path):
     with pytest.raises(ValueError, match="no vectors"):
         graph_index.build_graph(items.where("row_id > 6999"), str(tmp_path))
+
+
+def test_lists_without_clusters(spark, tmp_path):
+    """Vectors of many dimensions that lie in no clusters: lists of ``degree`` while they are made stop at about a half of the near ones."""
+    rng = random.Random(5)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(32)]) for k in range(2500)] + [(4000 + k, [0.5] * 32) for k in range(150)]
+    items = spark.createDataFrame(rows, "row_id long, embedding array<float>").repartition(4).cache()
+    graph_index.build_graph(items, str(tmp_path), degree=10)
+    index = graph_index.load_graph(spark, str(tmp_path))
+    asked = items.where("row_id % 25 = 0").select(F.col("row_id").alias("query_id"), "embedding")
+    exact = search.batch_search(items, asked, 10, "l2")
+    listed = index.lists.join(asked, F.col("id") == F.col("query_id")).select("query_id", F.explode("near").alias("row_id"))
+    assert cells.recall(listed, exact.where("row_id <> query_id")).first()["recall"] >= 0.9
+    assert cells.recall(index.search(asked, 10, width=32), exact).first()["recall"] >= 0.95
