@@ -2,9 +2,9 @@
 
 All take a table and objectives and add columns.  No step compares all rows with all others:
 
-* Pareto: each task leaves of its rows those that none of its others dominates.  The rows that are left are sorted into blocks along the sum of their
-  objectives, of which each has its corners; a block is compared with another only if the other's best corner dominates its worst one,
-  so most pairs of blocks are ruled out by a few numbers.  Blocks hold BLOCK rows at most.
+* Pareto: rows with equal objectives are one point, however many there are.  Each task leaves of its points those that none of its others dominates.  The points
+  that are left are sorted into blocks along the sum of their objectives, of which each has its corners; a block is compared with another only if the
+  other's best corner dominates its worst one, so most pairs of blocks are ruled out by a few numbers.  Blocks hold BLOCK points at most.
 * TOPSIS: two aggregations, one row each.
 * PROMETHEE: a row's net flow needs how many rows are better and worse in each objective: its place among the sorted values.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import ship, written
-from .order import numbered
+from .order import MOST_BROADCAST, numbered
 from .ranking import Objective, objective_value
 
 BLOCK = 4096
@@ -38,7 +38,7 @@ def front_of(x: np.ndarray, against: np.ndarray | None = None) -> np.ndarray:
     """Which rows of x no row of ``against`` (of x itself, if it isn't given) dominates: is as good in all columns and better in one."""
     alone = against is None
     if alone:
-        order = np.argsort(-x.sum(axis=1), kind="stable")  # a row is dominated by ones with a larger sum only
+        order = np.lexsort((*-x.T[::-1], -x.sum(axis=1)))  # a row is dominated by ones with a larger sum only, or with the same after rounding
         x = x[order]
         kept = np.empty((0, x.shape[1]))
         good = np.zeros(len(x), bool)
@@ -67,35 +67,37 @@ def pareto_front(df: DataFrame, objectives: tuple[Objective, ...]) -> DataFrame:
     live = _live(objectives)
     if not live:
         return df
-    dim = len(live)
+    dim, names = len(live), [f"__o{k}" for k in range(len(live))]
     ship(df.sparkSession)
-    rows = df.withColumn("__x", F.array(*_values(df, live)))
-    row_schema = rows.schema
+    rows = df.withColumns({c: v.cast("double") for c, v in zip(names, _values(df, live), strict=True)})
+    points = rows.select(*names).distinct().select(F.array(*names).alias("__x"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("__x").flatten(), float).reshape(-1, dim)
             yield batch.filter(pa.array(front_of(x)))
 
-    left = written(rows.mapInArrow(local, row_schema), "local-fronts")
+    left = written(points.mapInArrow(local, points.schema), "local-fronts")
     total = F.aggregate("__x", F.lit(0.0), lambda s, v: s + v)
-    placed = written(numbered(left.withColumn("__sum", total), [F.desc("__sum")], out="__at", first=0).withColumn("__block", (F.col("__at") / BLOCK).cast("long")), "placed")
+    order = [F.desc("__sum"), *(F.desc(F.col("__x")[k]) for k in range(dim))]
+    placed = written(numbered(left.withColumn("__sum", total), order, out="__at", first=0).withColumn("__block", (F.col("__at") / BLOCK).cast("long")), "placed")
     corners = placed.groupBy("__block").agg(F.array(*(F.max(F.col("__x")[k]) for k in range(dim))).alias("best"), F.array(*(F.min(F.col("__x")[k]) for k in range(dim))).alias("worst"))
     one, two = corners.select(F.col("__block").alias("own"), "worst"), corners.select(F.col("__block").alias("other"), "best")
-    # a block's rows are dominated by rows of larger sums only, which lie in its own block or in ones before
+    # a block's points are dominated by points before them only, which lie in its own block or in ones before
     may = one.join(two, F.col("other") <= F.col("own")).where(F.forall(F.arrays_zip("best", "worst"), lambda z: z["best"] >= z["worst"])).select("own", "other")
-    packed = placed.groupBy("__block").agg(F.flatten(F.collect_list("__x")).alias("x"), F.collect_list("__at").alias("at"))  # BLOCK rows
+    packed = placed.groupBy("__block").agg(F.flatten(F.collect_list("__x")).alias("x"), F.collect_list("__at").alias("at"))  # BLOCK points
 
     def beaten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x, other = (np.array(r[c], float).reshape(-1, dim) for c in ("x", "y"))
-                bad = ~(front_of(x) if r["own"] == r["other"] else front_of(x, other))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(r["at"], np.int64)[bad])], names=["__at"])
+            for k in range(batch.num_rows):
+                x, other = (np.asarray(batch.column(c)[k].values, float).reshape(-1, dim) for c in ("x", "y"))
+                bad = ~(front_of(x) if batch.column("own")[k].equals(batch.column("other")[k]) else front_of(x, other))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("at")[k].values, np.int64)[bad])], names=["__at"])
 
     pairs = may.join(packed.withColumnRenamed("__block", "own"), "own").join(packed.select(F.col("__block").alias("other"), F.col("x").alias("y")), "other").select("own", "other", "x", "y", "at")
     lost = pairs.mapInArrow(beaten, "__at long").distinct()
-    return placed.join(lost, "__at", "left_anti").select(*df.columns)
+    front = written(placed.join(lost, "__at", "left_anti").select(*(F.col("__x")[k].alias(c) for k, c in enumerate(names))), "front")
+    return rows.join(F.broadcast(front) if front.count() <= MOST_BROADCAST else front, names, "left_semi").select(*df.columns)
 
 
 def topsis(df: DataFrame, objectives: tuple[Objective, ...]) -> DataFrame:

@@ -73,6 +73,26 @@ def test_pareto(spark, monkeypatch, block):
     assert fronts.pareto_front(df.limit(0), objectives).count() == 0 and fronts.pareto_front(df, ()).count() == len(rows)
 
 
+def test_pareto_of_equal_rows_is_of_points(spark, monkeypatch):
+    """Rows with equal objectives are compared once: 40,000 rows of 400 points make no more than 400 points to compare."""
+    sizes = []
+    monkeypatch.setattr(fronts, "numbered", lambda df, *a, real=fronts.numbered, **o: sizes.append(df.count()) or real(df, *a, **o))
+    df = spark.range(40000).repartition(8).selectExpr("id AS row_id", "CAST(id % 400 AS DOUBLE) AS a", "CAST((id % 400) * 7 % 400 AS DOUBLE) AS b")
+    x = np.array([[k, -(k * 7 % 400)] for k in range(400)], float)
+    want = {k for k in range(400) if not ((x >= x[k]).all(axis=1) & (x > x[k]).any(axis=1)).any()}
+    got = [r["row_id"] for r in fronts.pareto_front(df, (Objective("a"), Objective("b", direction="minimize"))).collect()]
+    assert len(got) == 100 * len(want) and {k % 400 for k in got} == want and len(set(got)) == len(got)
+    assert sizes[0] <= 400
+
+
+def test_pareto_of_sums_that_round(spark, monkeypatch):
+    monkeypatch.setattr(fronts, "BLOCK", 4)
+    rows = [(k, 1e17, k / 1000) for k in range(2560)] + [(7000, -0.0, 20.0), (7001, 0.0, 20.0)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double").coalesce(1)
+    got = {r["row_id"] for r in fronts.pareto_front(df, (Objective("a"), Objective("b"))).collect()}
+    assert got == {2559, 7000, 7001}
+
+
 def test_topsis_and_promethee(spark):
     rows = [(k, float(k % 7), float((k * 3) % 5)) for k in range(40)]
     df = spark.createDataFrame(rows, "row_id long, a double, b double")
