@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -50,6 +51,42 @@ def test_bm25_skips_spans_and_stays_exact(spark, docs, tmp_path):
     assert index.kept_spans(["w40", "w55"], 3).count() < 0.8 * index.bounds(["w40", "w55"]).count()
 
 
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written into shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_postings_take_little_disk(spark, docs, tmp_path):
+    """A row for each term of a batch of documents is shuffled, not one for each posting, and nothing but the index stays."""
+    df = spark.createDataFrame(docs, "row_id long, text string").coalesce(2)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, there = shuffled(spark), set(shared.iterdir())
+    keywords.build_keywords(df, str(tmp_path), span=32)
+    postings = sum(len(set(re.findall(r"[^\W_]+", (t or "").lower()))) for _, t in docs)
+    assert shuffled(spark) - before < 0.1 * postings
+    assert set(shared.iterdir()) == there
+
+
+def test_bm25_of_long_and_of_equal_documents(spark, tmp_path, monkeypatch):
+    """Counts and lengths of more than a byte or two, batches of few words, keys of any kind, and ties by key."""
+    monkeypatch.setattr(keywords, "BATCH_WORDS", 500)
+    rng = random.Random(7)
+    rows = [(f"d{k:04}", " ".join(rng.choices(["a", "b", "c", "d", "e"], k=rng.randrange(40)))) for k in range(300)]
+    rows += [("long", "a b " * 40_000), ("many", "b " * 300 + "c"), *((f"same{k}", "a b c e " * 3) for k in range(9, -1, -1)), ("none", None)]
+    keywords.build_keywords(spark.createDataFrame(rows, "row_id string, text string").coalesce(1), str(tmp_path), span=3)
+    index = keywords.load_keywords(spark, str(tmp_path))
+    for k in (5, 400):
+        got = [(r["row_id"], r["score"]) for r in index.search("c a e b", k).orderBy("rank").collect()]
+        want = sorted(bm25(rows, "c a e b").items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+        assert [s for _, s in got] == pytest.approx([s for _, s in want])
+        assert [x for x, _ in got if x.startswith("same")] == [x for x, _ in want if x.startswith("same")]
+        assert {x for x, _ in got} == {x for x, _ in want}
+
+
 def test_fused_order(spark):
     near = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.1)], "row_id long, score double")
     words = spark.createDataFrame([(2, 6.0), (4, 12.0)], "row_id long, score double")
