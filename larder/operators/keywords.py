@@ -88,7 +88,8 @@ class Keywords:
             return self._read("documents").limit(0).select(F.col("id").alias(self.key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         scored = written(self.scores(terms, self.kept_spans(terms, k)), "scores")
         last = scored.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("last"))  # one row
-        best = scored.join(F.broadcast(last)).where(F.col("score") >= F.col("last")).select("span", "at", "score")  # k rows, and more that tie with the last
+        best = written(scored.join(F.broadcast(last)).where(F.col("score") >= F.col("last")).select("span", "at", "score"), "best")  # k rows, and more that tie with the last
+        forget(scored)
         keys, named = self._read("documents"), [r[0] for r in best.select("span").distinct().limit(NAMED_SPANS + 1).collect()]
         if len(named) <= NAMED_SPANS:
             keys = keys.where(F.col("span").isin(named))

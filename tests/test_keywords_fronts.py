@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import fronts, keywords
 from larder.operators.ranking import Objective
+from larder.plans import retrieval_queries
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +72,17 @@ def test_postings_take_little_disk(spark, docs, tmp_path):
     assert set(shared.iterdir()) == there
 
 
+def test_hybrid_takes_little_disk(spark, sf):
+    """Both searches of hybrid_topk: few rows are shuffled for a posting, and the scores of all documents go when the best are known."""
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.array_distinct(keywords.terms_of(F.col("text"))).alias("t"))
+    postings = texts.agg(F.sum(F.size("t"))).first()[0]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before, there = shuffled(spark), set(shared.iterdir())
+    assert retrieval_queries.QUERIES["hybrid_topk"](spark, sf).count() == 20
+    assert shuffled(spark) - before < 2 * postings  # 4.2 where postings were shuffled, and most terms of this small table are in one document
+    assert {p.name.split("-")[0] for p in set(shared.iterdir()) - there} <= {"postings", "bounds", "best"}
+
+
 def test_bm25_of_long_and_of_equal_documents(spark, tmp_path, monkeypatch):
     """Counts and lengths of more than a byte or two, batches of few words, keys of any kind, and ties by key."""
     monkeypatch.setattr(keywords, "BATCH_WORDS", 500)
