@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..sources.tables import forget, written
+from ..sources.tables import drop_shuffles, forget, written
 from .order import numbered
 from .search import whole
 
@@ -124,6 +124,8 @@ def build_graph(items: DataFrame, path: str, degree: int = 16, rounds: int = 8,
         changed = after.where("fresh").count()
         forget(lists)
         lists = after
+        del ends, nodes, into, members, grouped
+        drop_shuffles(spark)  # a round's has each vector as often as it is in a list
         if changed <= changes * n * longer:
             break
     made = lists

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -66,6 +67,12 @@ def forget(df: DataFrame) -> None:
         target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then Spark deletes the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: list = []
 
 
